@@ -34,13 +34,13 @@ def constants(n: int, salt: int) -> np.ndarray:
 
 
 class Alphabet:
-    """Which bytes belong to words, and the 64-bit value of each byte after folding A-Z to a-z."""
+    """Which bytes belong to words, and the 64-bit value of each byte, A-Z folded to a-z if asked."""
 
-    def __init__(self, separators: list[int]):
+    def __init__(self, separators: list[int], fold: bool = True):
         self.inside = np.ones(256, dtype=bool)
         self.inside[separators] = False
         folded = np.arange(256, dtype=np.uint64)
-        folded[65:91] += np.uint64(32)
+        folded[65:91] += np.uint64(32 * fold)
         self.value = mix(folded + np.uint64(1 << 20))
 
 
@@ -48,6 +48,8 @@ class Alphabet:
 SPACED = Alphabet([32, *range(9, 14)])
 #: Words are runs of ASCII letters, digits and all characters outside ASCII.
 ALNUM = Alphabet([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+#: All bytes as they are.
+EXACT = Alphabet([], fold=False)
 
 _P = 0xD1B54A32D192ED03
 _P_INV = pow(_P, -1, 1 << 64)

@@ -5,10 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exactdup, neardup
+from . import archives, decontam, exactdup, langid, mixing, neardup, secrets, tokenfiles
 from .common import read_table
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenfiles.token_files(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
@@ -19,17 +37,38 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    dictionaries = langid.learn(docs.where(langid.fold() != 2))
+    found = langid.identify(docs, dictionaries)
+    return found.withColumn("held_out", langid.fold() == 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.archived(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_token_files": op2_token_files,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_language_id": op5_language_id,
+        "op7_source_mixing": op7_source_mixing,
+        "op9_warc": op9_warc,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exactdup.SQL}
+    return {"op7_source_mixing": mixing.SQL, "op9_warc": archives.SQL, "op10_exact_dedup": exactdup.SQL}
