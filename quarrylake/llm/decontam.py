@@ -191,16 +191,51 @@ def _shuffled_join(docs: DataFrame, bench: DataFrame, short: list[tuple[str, str
     return keyed.join(lists, "row", "left").select("doc_id", "text", "own").mapInArrow(judge, SCHEMA)
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    known = F.col(text_col).isNotNull() & F.col(item_col).isNotNull()
+    return benchmark.where(known).select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
+
+
+def _n_words():
+    """At most two too many."""
+    return F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+
+
+def _fits(bench: DataFrame, index_words: int) -> bool:
+    size = bench.agg(F.sum(_n_words()), F.sum(F.length("text"))).first()
+    return (size[0] or 0) <= index_words and (size[1] or 0) <= 32 * index_words
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_words: int = INDEX_WORDS) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items``."""
-    bench = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
+    bench = _items(benchmark, item_col, item_text_col)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n_words = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))  # at most two too many
-    size = bench.agg(F.sum(n_words), F.sum(F.length("text"))).first()
-    if (size[0] or 0) <= index_words and (size[1] or 0) <= 32 * index_words:
+    if _fits(bench, index_words):
         return _broadcast_join(docs, [tuple(r) for r in bench.orderBy("item_id").collect()])
-    brief = bench.where(n_words < WINDOW + 2)
-    n_brief = brief.agg(F.sum(n_words)).first()[0] or 0
+    brief = bench.where(_n_words() < WINDOW + 2)
+    n_brief = brief.agg(F.sum(_n_words())).first()[0] or 0
     if n_brief > index_words:
         raise ValueError(f"the items of fewer than {WINDOW} words have {n_brief} words together; at most {index_words} can be looked up")
     return _shuffled_join(docs, bench, [tuple(r) for r in brief.orderBy("item_id").collect()])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_words: int = INDEX_WORDS) -> DataFrame:
+    """The documents without a hit word, in their own columns."""
+    bench = _items(benchmark, "item_id", "text")
+    if not _fits(bench, index_words):
+        found = contamination(docs, benchmark, id_col, text_col, index_words=index_words)
+        gone = found.where("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
+        return docs.join(gone, id_col, "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in bench.orderBy("item_id").collect()]))
+
+    def keep(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            clean = [np.zeros(0, dtype=bool)]
+            for _, _, data, offsets in kernel.text_slices(batch.column(at)):
+                words, first = kernel.hashed_words(data, offsets, kernel.ALNUM)
+                so_far = np.concatenate([[0], np.cumsum(index.value.hits(words, first)[0])])
+                clean.append(so_far[first[1:]] == so_far[first[:-1]])
+            yield batch.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(keep, docs.schema)
