@@ -8,12 +8,17 @@ as often as their Jaccard similarity (locality-sensitive).
 1. Documents with equal sets form a class; only the smallest id of each goes on.
 2. Bands of ``ROWS`` registers are hashed.  A pair at the threshold of 0.8 misses all ``BANDS`` bands with
    a chance below 1e-6.
-3. The members of a band's bucket are first linked to its smallest member only, then, where the bucket
-   still holds several components, to other members, and last all pairs of different components are
-   tried.  Pairs inside one component need no test, so a bucket of many copies costs one test a row.
+3. Of the buckets a document is in, the hub (smallest member) that it shares most bands with is tested
+   first.  A pair inside one component needs no test any more, so a bucket of many copies costs each
+   document one test.  Where a bucket still holds several components, ``ROUNDS`` further rounds test each
+   document with the two likeliest of other hubs.
 4. A candidate's similarity is estimated from all registers and both set sizes by maximum likelihood;
-   below ``CUT`` (six standard errors under the threshold) it goes no further.
-5. The rest are confirmed on the full sets, from the whole texts.
+   below ``CUT`` (six standard errors under the threshold) it goes no further.  The rest are confirmed on
+   the full sets, from the whole texts.
+5. What is undecided then is compared without exception: components that meet in a bucket form a field,
+   and the documents of a field outside its largest component are compared, on full sets, with all
+   documents of the field.  This goes block by block, with the counts of common shingles from one matrix
+   product, so that no pairs are listed; only links between different components come out.
 6. Links become components by joins.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with
@@ -39,8 +44,9 @@ ROWS, BANDS = 6, 48
 REGISTERS = ROWS * BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 THRESHOLD, CUT = (80, 100), 0.66
-#: Members of an undecided bucket that the second round links all others to.
-HUBS = 4
+ROUNDS = 2
+#: Documents and shingles of a block, on average, in the last comparison.
+BLOCK_DOCS, BLOCK_SHINGLES, MATRIX = 256, 1 << 18, 1 << 13
 
 _XOR = kernel.constants(REGISTERS, 11).astype(np.uint32)
 _MUL = (kernel.constants(REGISTERS, 12) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -185,27 +191,107 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
 
     def confirm(batches):
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        hubs: dict[int, np.ndarray] = {}
         for batch in batches:
             ids, others, ta, tb = batch.columns
             linked = np.zeros(batch.num_rows, dtype=bool)
             for i, (a, left, right) in enumerate(zip(ids.to_pylist(), ta, tb, strict=True)):
-                if last[0] != a:
-                    last = (a, _set(left, shingle))
-                one, two = last[1], _set(right, shingle)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                linked[i] = both > 0 and THRESHOLD[1] * both >= THRESHOLD[0] * (len(one) + len(two) - both)
+                if a not in hubs:
+                    if len(hubs) >= 64 or sum(map(len, hubs.values())) > 1 << 21:
+                        hubs.clear()
+                    hubs[a] = _set(left, shingle)
+                one, two = hubs[a], _set(right, shingle)
+                linked[i] = _similar(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two))
             yield pa.RecordBatch.from_arrays([ids, others, pa.array(linked)], names=["a", "b", "linked"])
 
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")  # dealt by b in the end: a hub's pairs spread out
     return joined.select("a", "b", "t_a", "t_b").mapInArrow(confirm, "a long, b long, linked boolean")
 
 
+def _similar(both, one, two):
+    return (both > 0) & (THRESHOLD[1] * both >= THRESHOLD[0] * (one + two - both))
+
+
 def _set(text: pa.Scalar, shingle: int) -> np.ndarray:
     data = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
     return np.unique(shingle_hashes(data, np.array([0, len(data)]), shingle)[0])
 
 
+def _likeliest(pairs: DataFrame, n: int) -> DataFrame:
+    """Of each b, the n pairs with most bands in common (ties: the smallest a)."""
+    best = F.struct((-F.col("count")).alias("order"), F.col("a"))
+    top = F.min(best) if n == 1 else None
+    if top is not None:
+        return pairs.groupBy("b").agg(top.alias("best")).select(F.col("best.a").alias("a"), "b")
+    return pairs.groupBy("b").agg(F.min(best).alias("x"), F.min(F.struct(F.xxhash64("a", "b"), F.col("a"))).alias("y")).select("b", F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a")).select("a", "b")
+
+
+def _tested(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Estimated, and if likely enough confirmed: ``a, b, linked``."""
+    likely = materialize(_estimated(materialize(pairs, "pairs"), members).select("a", "b"), "likely")
+    return materialize(_confirmed(likely, docs, shingle), "confirmed")
+
+
+def _undecided(crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that hold several components, with a hub that changes with the turn."""
+    labelled = crowded.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("turn"), "doc_id", "component"))
+    split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("hub")).where("low <> high")
+    split = materialize(split.select("key", "low", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("hub_component")), "split")
+    return materialize(labelled.join(bounded(split, split.count()), "key"), "undecided")
+
+
+def _field_links(open_: DataFrame, labels: DataFrame, members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """All links between different components of a field that aren't made yet, as a spanning subset."""
+    meet = open_.where("component <> low").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct()
+    fields = components(meet).select(F.col("node").alias("component"), F.col("component").alias("field"))
+    there = open_.select("doc_id", "component").distinct().join(fields, "component")
+    sized = materialize(there.join(members.select("doc_id", "n_shingles"), "doc_id").groupBy("doc_id", "component", "field").agg(F.sum("n_shingles").alias("n_shingles")), "fields")
+    largest = sized.groupBy("field", "component").count().groupBy("field").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    sides = sized.join(largest, "field").withColumn("rest", F.col("component") != F.col("largest")).drop("largest")
+    count = sides.groupBy("field", "rest").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = sides.join(count, ["field", "rest"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")))
+    texts = docs.join(bounded(placed.select("doc_id").distinct(), sized.count()), "doc_id", "left_semi")
+    blocks = placed.join(texts, "doc_id").groupBy("field", "rest", "block").agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("rows"))
+    blocks = materialize(blocks, "blocks")
+    one = blocks.where("rest").select("field", F.col("block").alias("at"), F.col("rows").alias("one"))
+    pairs = one.join(blocks, "field").where("NOT rest OR block >= at")
+
+    def compare(batches):
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                found = _block_links(left.values, right.values, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return pairs.select("one", "rows").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _block_links(left: pa.StructArray, right: pa.StructArray, shingle: int) -> np.ndarray:
+    """Links between different components of two blocks: at most one for each document and component."""
+    ids, comps, sets = zip(*[(x.field("doc_id").to_numpy(), x.field("component").to_numpy(), [_set(t, shingle) for t in x.field("text")]) for x in (left, right)], strict=True)
+    sizes = [np.array([len(s) for s in side]) for side in sets]
+    known = np.intersect1d(*(np.unique(np.concatenate(side)) for side in sets))
+    both = np.zeros((len(sets[0]), len(sets[1])), np.float32)
+    for at in range(0, len(known), MATRIX):
+        part = known[at : at + MATRIX]
+        has = [np.stack([_holds(s, part) for s in side]).astype(np.float32) for side in sets]
+        both += has[0] @ has[1].T
+    linked = _similar(both.astype(np.int64), sizes[0][:, None], sizes[1][None, :]) & (comps[0][:, None] != comps[1][None, :])
+    rows, cols = np.nonzero(linked)
+    if not len(rows):
+        return np.zeros((0, 2), np.int64)
+    _, first = np.unique(np.stack([rows, comps[1][cols]], 1), axis=0, return_index=True)
+    a, b = ids[0][rows[first]], ids[1][cols[first]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+
+def _holds(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted (sorted) are among the values (sorted)."""
+    if not len(values):
+        return np.zeros(len(wanted), dtype=bool)
+    return values[np.minimum(np.searchsorted(values, wanted), len(values) - 1)] == wanted
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -218,30 +304,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = _buckets(members)
     shared = materialize(buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").select("key", "hub"), "shared")
     crowded = materialize(buckets.join(bounded(shared, shared.count()), "key"), "buckets")
-    first = materialize(crowded.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    likely = _estimated(first, members)
-    best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("likely", -F.col("a"))).alias("a")).select("a", "b"), "likely")
-    tested = materialize(_confirmed(best, docs, shingle), "confirmed")
+    first = crowded.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).count()
+    tested = _tested(_likeliest(first, 1), members, docs, shingle)
     links = tested.where("linked").select("a", "b")
     labels = components(links)
-    for last in (False, True):
-        labelled = crowded.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("doc_id").alias("top")).where("low <> high")
-        open_ = materialize(labelled.join(split, "key"), "undecided")
-        if last:
-            one = open_.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
+    for turn in range(ROUNDS + 1):
+        open_ = _undecided(crowded, labels, turn)
+        if not open_.limit(1).count():
+            break
+        if turn == ROUNDS:
+            more = materialize(_field_links(open_, labels, members, docs, shingle), "links")
         else:
-            hubs = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "component")) for k in range(HUBS)]
-            one = open_.groupBy("key").agg(F.array_distinct(F.array(*hubs)).alias("hubs")).select("key", F.explode("hubs").alias("h")).select("key", F.col("h.doc_id").alias("a"), F.col("h.component").alias("ca"))
-        pairs = open_.join(one, "key").where("component <> ca").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        likely = materialize(_estimated(fresh, members).select("a", "b"), "likely")
-        if not likely.limit(1).count():
-            continue
-        more = materialize(_confirmed(likely, docs, shingle), "confirmed")
-        tested = tested.unionByName(more)
-        if more.where("linked").limit(1).count():
-            links = links.unionByName(more.where("linked").select("a", "b"))
+            pairs = open_.where("component <> hub_component").groupBy(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).count()
+            fresh = _tested(_likeliest(pairs.join(tested, ["a", "b"], "left_anti"), 2), members, docs, shingle)
+            tested = tested.unionByName(fresh)
+            more = fresh.where("linked").select("a", "b")
+        if more.limit(1).count():
+            links = links.unionByName(more)
             labels = components(links)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")

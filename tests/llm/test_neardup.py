@@ -59,6 +59,15 @@ def test_matches_brute_force(spark):
     assert run(spark, docs, 4) == brute(docs, 4)
 
 
+def test_last_comparison_alone_finds_all_links(spark, monkeypatch):
+    docs = corpus(40, 9)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(neardup, "MATRIX", 64)
+    monkeypatch.setattr(neardup, "CUT", 2.0)  # nothing is linked before
+    assert run(spark, docs, 4) == brute(docs, 4)
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(empty).count() == 0
