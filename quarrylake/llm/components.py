@@ -10,28 +10,41 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 ROUNDS = 60
+#: Links (16 bytes each) that one task may hold to settle them at once; more are settled by rounds of joins.
+TASK_LINKS = 1_000_000
 
 
-def spanning_forest(links: DataFrame) -> DataFrame:
-    """Replace the links of each partition by as few that connect the same nodes, each to its smallest."""
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of some links that isn't the smallest it reaches, and that smallest."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            other = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[other], nodes[label[other]]
+        label = new
+
+
+def spanning_forest(links: DataFrame, whole: bool = False) -> DataFrame:
+    """Replace links by as few that connect the same nodes, each node to its smallest.
+
+    Batch by batch, or (whole) all links of a partition at once.
+    """
 
     def forest(batches):
-        for batch in batches:  # bounded by a batch, not by a partition
-            a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-            a, b = ends[: len(a)], ends[len(a) :]
-            label = np.arange(len(nodes))
-            while True:
-                low = np.minimum(label[a], label[b])
-                new = label.copy()
-                np.minimum.at(new, label[a], low)
-                np.minimum.at(new, label[b], low)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            other = np.flatnonzero(label != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], names=["a", "b"])
+        pairs = ((batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches)
+        if whole:
+            none = np.zeros(0, np.int64)
+            pairs = [tuple(np.concatenate(x) for x in zip((none, none), *pairs, strict=True))]
+        for a, b in pairs:
+            node, low = _forest(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(low)], names=["a", "b"])
 
     return links.mapInArrow(forest, "a long, b long")
 
@@ -42,7 +55,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node takes the smallest label among its neighbours' and its own, then its
     label's label; labels halve their distance to the smallest node each round.
     """
-    links = materialize(spanning_forest(links.select("a", "b").where("a <> b").distinct()), "links")
+    links = materialize(spanning_forest(links.select("a", "b").where("a <> b")), "links")
+    if links.count() <= TASK_LINKS:
+        tree = materialize(spanning_forest(links.coalesce(1), whole=True), "labels")
+        # Each tree's smallest node stands for itself.
+        roots = tree.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        return tree.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    links = links.distinct()
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
     for _ in range(ROUNDS):
