@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from . import q_dedup, q_retrieval, q_warehouse
+
+MODULES = (q_retrieval, q_dedup, q_warehouse)
 
 
 def queries() -> dict:
