@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_dedup, q_retrieval, q_warehouse
+from . import q_dedup, q_records, q_retrieval, q_warehouse
 
-MODULES = (q_retrieval, q_dedup, q_warehouse)
+MODULES = (q_retrieval, q_dedup, q_warehouse, q_records)
 
 
 def queries() -> dict:

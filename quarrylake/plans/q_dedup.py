@@ -30,7 +30,7 @@ def dedup_simhash(spark, d):
 
 
 def dedup_embedding(spark, d):
-    return dedup.embedding_matches(_vectors(spark, d), 0.7).select("canonical_id", "duplicate_id", "layer", "score")
+    return dedup.embedding_matches(_vectors(spark, d), 0.4).select("canonical_id", "duplicate_id", "layer", "score")
 
 
 def dedup_cascade(spark, d):
@@ -59,10 +59,7 @@ def quality_exact_groups(spark, d):
 
 
 def quality_near_duplicates(spark, d):
-    """Benchmark items and conversation turns, the short texts: two-word shingles."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("chunk_id"), "text")
-    return quality.near_duplicates(items.unionByName(turns))
+    return quality.near_duplicates(_chunks(spark, d))
 
 
 def quality_facts(spark, d):
@@ -148,13 +145,13 @@ ORACLE = {
     "dedup_exact": f"SELECT *, 'exact_sha256' AS layer, 1.0::DOUBLE AS score FROM ({_EXACT})",
     "dedup_embedding": """SELECT * FROM (SELECT a.vec_id AS canonical_id, b.vec_id AS duplicate_id, 'embedding' AS layer,
         round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
-        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= 0.7""",
+        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= 0.4""",
     "dedup_metadata": f"SELECT duplicate_id AS chunk_id, 'exact_sha256' AS layers, 'exact_sha256' AS primary_layer, canonical_id, 1::BIGINT AS match_count, canonical_id::VARCHAR || '::' || duplicate_id::VARCHAR AS group_id FROM ({_EXACT})",
     "dedup_counters": f"SELECT count(*) AS n, count(DISTINCT duplicate_id) AS chunks, count(*) AS n_exact_sha256, 0::BIGINT AS n_simhash, count(DISTINCT duplicate_id) AS chunks_exact_sha256, 0::BIGINT AS chunks_simhash FROM ({_EXACT})",
     "dedup_review_page": f"SELECT *, 'exact_sha256' AS layer, 1.0::DOUBLE AS score FROM ({_EXACT}) ORDER BY canonical_id, duplicate_id LIMIT 50 OFFSET 10",
     "dedup_incremental": f"SELECT canonical_id, doc_id AS duplicate_id FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY {_NORM} ORDER BY doc_id % 3 = 0, doc_id) AS canonical_id FROM documents) WHERE doc_id % 3 = 0 AND doc_id <> canonical_id",
     "quality_exact_groups": f"SELECT sha256(k) AS group_id, count(*) AS n, min(doc_id) AS first_chunk FROM (SELECT doc_id, {_KEY} AS k FROM documents) WHERE k <> '' GROUP BY k HAVING count(*) > 1",
-    "quality_near_duplicates": rf"""WITH c AS (SELECT min(chunk_id) AS id, k FROM (SELECT chunk_id, {_KEY} AS k FROM (SELECT item_id AS chunk_id, text FROM benchmark UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations)) WHERE k <> '' GROUP BY k),
+    "quality_near_duplicates": rf"""WITH c AS (SELECT min(doc_id) AS id, k FROM (SELECT doc_id, {_KEY} AS k FROM documents) WHERE k <> '' GROUP BY k),
         w AS (SELECT id, string_split(k, ' ') AS w FROM c),
         g AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w),
         n AS (SELECT id, count(*) AS n FROM g GROUP BY id),

@@ -45,10 +45,10 @@ def inherited_runs(spark, d):
 
 
 def pending_questions(spark, d):
-    """Customers without any order (anti join), with their place by balance."""
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    pending = c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-    return evaluation.sequence(pending.select("c_custkey", "c_acctbal"), F.desc("c_acctbal"), F.col("c_custkey"))
+    """Orders without a returned line (anti join), numbered by price."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    pending = o.join(l.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    return evaluation.sequence(pending.select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), F.col("o_orderkey"))
 
 
 def approved_questions(spark, d):
@@ -165,7 +165,7 @@ def page_domains(spark, d):
 def page_types(spark, d):
     """Ordered rules over URL and body: the first that holds names the type."""
     u, h = F.lower("url"), F.lower("html")
-    kind = F.when(u.rlike(r"\.(pdf|jpg|png)"), "file").when(h.contains("<table"), "table").when(h.contains("<ul"), "list").when(F.length("html") > 3000, "article").otherwise("other")
+    kind = F.when(u.rlike(r"\.(pdf|jpg|png)$"), "file").when(h.contains("<table"), "table").when(u.contains("?page="), "listing").when(F.length("html") > 3000, "article").otherwise("other")
     return table(spark, d, "pages").groupBy(kind.alias("kind")).agg(F.count("*").alias("pages"), F.max(F.length("html")).cast("long").alias("longest"))
 
 
@@ -197,7 +197,7 @@ ORACLE = {
     "run_progress": "SELECT o_orderkey AS run_id, 7 AS total, count(l_orderkey) AS done, count(*) FILTER (l_returnflag = 'R') AS failed, 7 - count(l_orderkey) AS left FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 3 AND l_quantity > 20) ON l_orderkey = o_orderkey GROUP BY 1",
     "run_comparison": "SELECT c_mktsegment, o_orderstatus, count(o_orderkey) AS orders, round(avg(o_totalprice), 4) AS avg_price, bool_or(o_totalprice > 400000) AS any_large FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2",
     "inherited_runs": "WITH k AS (SELECT DISTINCT l_suppkey AS run_id, p_brand AS q FROM lineitem JOIN part ON l_partkey = p_partkey), own AS (SELECT DISTINCT q FROM k WHERE run_id < 5) SELECT run_id, count(*) AS covered, (SELECT count(*) FROM own) AS total FROM k WHERE q IN (SELECT q FROM own) GROUP BY run_id HAVING count(*) * 2 >= (SELECT count(*) FROM own)",
-    "pending_questions": "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS seq FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "pending_questions": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS seq FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
     "approved_questions": "SELECT c_custkey, count(o_orderkey) AS orders, count(*) FILTER (o_totalprice > 200000) AS large, count(*) FILTER (o_totalprice > 200000) > 0 AS has_large FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
     "affected_questions": "WITH e AS (SELECT user_id, json_extract_string(props, '$.k') AS k FROM events), top AS (SELECT k FROM e GROUP BY k ORDER BY count(*) DESC, k LIMIT 5) SELECT user_id, count(DISTINCT k) AS n_keys FROM e GROUP BY user_id HAVING bool_or(k IN (SELECT k FROM top))",
     "document_listing": "SELECT o_orderkey, o_orderdate, count(l_linenumber) AS chunks, max(coalesce(l_shipdate, o_orderdate)) AS changed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY changed DESC, o_orderkey LIMIT 100",
@@ -221,7 +221,7 @@ ORACLE = {
         SELECT seed, chunk_id, round(sum(0.1::DOUBLE / (hop + 1)), 6) AS score FROM o GROUP BY 1, 2""",
     "kg_delete_document": f"WITH {_TRIPLES} SELECT predicate, count(*) AS n FROM t WHERE (subject, predicate, object) NOT IN (SELECT subject, predicate, object FROM t WHERE doc_id = 7) GROUP BY 1",
     "page_domains": "SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS domain, count(*) AS pages FROM pages GROUP BY 1",
-    "page_types": r"SELECT CASE WHEN regexp_matches(lower(url), '\.(pdf|jpg|png)') THEN 'file' WHEN contains(lower(html), '<table') THEN 'table' WHEN contains(lower(html), '<ul') THEN 'list' WHEN length(html) > 3000 THEN 'article' ELSE 'other' END AS kind, count(*) AS pages, max(length(html)) AS longest FROM pages GROUP BY 1",
+    "page_types": r"SELECT CASE WHEN regexp_matches(lower(url), '\.(pdf|jpg|png)$') THEN 'file' WHEN contains(lower(html), '<table') THEN 'table' WHEN contains(lower(url), '?page=') THEN 'listing' WHEN length(html) > 3000 THEN 'article' ELSE 'other' END AS kind, count(*) AS pages, max(length(html)) AS longest FROM pages GROUP BY 1",
     "event_windows": _WINDOWS,
     "event_stream": _WINDOWS,
     "event_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
