@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylake.operators.cluster import written
+
 
 def recall_at_k(retrieved: Column, relevant: Column, k: int) -> Column:
     """Share of the listed truth ids among the first k (repeated truth ids lower it); no truth gives 0."""
@@ -74,11 +76,13 @@ def stratified(rows: DataFrame, stratum: str, order: str, quota: int, total: int
 
 
 def sequence(rows: DataFrame, *order: Column, name: str = "seq") -> DataFrame:
-    """Global numbers by an order, without sending all rows to one task: counts of ranges, then numbers within."""
-    spark = rows.sparkSession
-    placed = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    """Global numbers by an order, without sending all rows to one task: counts of ranges, then numbers within.
+
+    The ranges are written first, as a sort that ran twice could deal its ranges otherwise.
+    """
+    ranges = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(ranges, "ranges")
     counts = placed.groupBy("_part").count()  # a row a partition
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     within = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
-    assert spark is not None
-    return placed.join(F.broadcast(before), "_part").withColumn(name, within + F.col("_before") + 1).drop("_part", "_at", "_before")
+    return placed.join(before, "_part").withColumn(name, within + F.col("_before") + 1).drop("_part", "_at", "_before")
