@@ -1,6 +1,6 @@
 """Vectorised text kernel: words, word hashes and word n-gram hashes of many texts at once.
 
-Everything works on the UTF-8 bytes of an Arrow string column, a few megabytes at a time, so memory
+Everything works on the UTF-8 bytes of an Arrow string column, a megabyte at a time, so memory
 stays bounded by :data:`SLICE_BYTES` or the longest single text, whichever is larger.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -54,6 +54,23 @@ EXACT = Alphabet([], fold=False)
 _P = 0xD1B54A32D192ED03
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+_held: dict[object, object] = {}
+
+
+def held(name: object, make):
+    """The one large object that a worker process keeps from task to task; asking for another drops it."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Give back what this worker process has kept, before work that needs room of its own."""
+    if _held or _powers:
+        _held.clear()
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

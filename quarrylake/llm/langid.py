@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel
+
 #: Bytes of sample text to a language, languages, bytes of a block.
 DICTIONARY, LANGUAGES, BLOCK = 96 << 10, 64, 4096
 LEVEL = 9
@@ -107,15 +109,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(classify, SCHEMA)
 
 
-_made: dict[int, Classifier] = {}
-
-
 def _classifier(dictionaries: dict[str, bytes]) -> Classifier:
-    key = zlib.crc32(repr([(k, zlib.crc32(v)) for k, v in dictionaries.items()]).encode())
-    if key not in _made:
-        _made.clear()
-        _made[key] = Classifier(dictionaries)
-    return _made[key]
+    key = ("languages", *((k, zlib.crc32(v)) for k, v in dictionaries.items()))
+    return kernel.held(key, lambda: Classifier(dictionaries))
 
 
 def fold(id_col: str = "doc_id", n: int = 4):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import bounded, materialize
+from .common import arrow_rows, bounded, materialize
 from .components import components
 
 SHINGLE = 5
@@ -125,6 +125,7 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     def sign(batches):
+        kernel.release()
         for batch in batches:
             ids, texts = batch.columns
             for a, b, data, offsets in kernel.text_slices(texts):
@@ -151,6 +152,7 @@ def _buckets(members: DataFrame) -> DataFrame:
     """``doc_id, key`` for each band of each set."""
 
     def spread(batches):
+        kernel.release()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -191,6 +193,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
 
     def confirm(batches):
+        kernel.release()
         hubs: dict[int, np.ndarray] = {}
         for batch in batches:
             ids, others, ta, tb = batch.columns
@@ -229,7 +232,9 @@ def _likeliest(pairs: DataFrame, n: int) -> DataFrame:
 def _tested(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Estimated, and if likely enough confirmed: ``a, b, linked``."""
     likely = materialize(_estimated(materialize(pairs, "pairs"), members).select("a", "b"), "likely")
-    return materialize(_confirmed(likely, docs, shingle), "confirmed")
+    confirmed = _confirmed(likely, docs, shingle)
+    with arrow_rows(docs.sparkSession, 500):  # a row holds two texts
+        return materialize(confirmed, "confirmed")
 
 
 def _undecided(crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -258,6 +263,7 @@ def _field_links(open_: DataFrame, labels: DataFrame, members: DataFrame, docs:
     pairs = one.join(blocks, "field").where("NOT rest OR block >= at")
 
     def compare(batches):
+        kernel.release()
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
                 found = _block_links(left.values, right.values, shingle)
@@ -295,7 +301,9 @@ def _holds(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(_signatures(docs, shingle), "sketches")
+    signing = _signatures(docs, shingle)
+    with arrow_rows(docs.sparkSession, 2000):
+        signed = materialize(signing, "sketches")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
@@ -313,7 +321,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not open_.limit(1).count():
             break
         if turn == ROUNDS:
-            more = materialize(_field_links(open_, labels, members, docs, shingle), "links")
+            compared = _field_links(open_, labels, members, docs, shingle)
+            with arrow_rows(docs.sparkSession, 4):  # a row holds two blocks of texts
+                more = materialize(compared, "links")
         else:
             pairs = open_.where("component <> hub_component").groupBy(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).count()
             fresh = _tested(_likeliest(pairs.join(tested, ["a", "b"], "left_anti"), 2), members, docs, shingle)
