@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import fresh_path
+from .common import arrow_rows, fresh_path
 
 END_ID = 0
 #: Bytes of text to a shard, most shards, and tokens to a block.
 SHARD_BYTES, MAX_SHARDS, BLOCK_TOKENS = 24 << 20, 8192, 1 << 20
+#: Bytes of text encoded at once, and rows of an Arrow batch while files are written.
+TEXT_BYTES, BATCH_ROWS = 1 << 19, 1000
 MAGIC = b"QLT1"
 NULL_ID = np.iinfo(np.int64).min
 
@@ -151,7 +154,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of many texts, each different piece encoded once while it stays in the table."""
 
-    SLOTS, ENTRIES = 1 << 21, 1 << 20
+    #: Places of the table (two to a set) and pieces kept before it is emptied.
+    SLOTS, ENTRIES = 1 << 22, 3 << 19
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -161,30 +165,32 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self.vocabulary = self.library.get_vocab_size()
+        self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(self.SLOTS, np.uint64)
-        self.entries = np.full(self.SLOTS, -1, np.int32)
-        self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int32)
-        self.flat = np.zeros(1, np.uint32)
-        self.n, self.used = 0, 0
+        # Entry 0 stands for none: no piece has its hash, and it has no ids.
+        self.entries = np.zeros(self.SLOTS, np.int32)
+        self.hashes, self.starts, self.sizes = np.zeros(1, np.uint64), np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.flat = np.zeros(1, self.kind)
+        self.n, self.used = 1, 0
 
     def _room(self, name: str, size: int) -> None:
         old = getattr(self, name)
         if len(old) < size:
-            new = np.zeros(max(size, 2 * len(old)), old.dtype)
+            new = np.zeros(max(size, len(old) * 5 // 4), old.dtype)
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def _learn(self, pieces: list[str]) -> np.ndarray:
+    def _learn(self, pieces: list[str], hashes: np.ndarray) -> np.ndarray:
         found = [x.ids for x in self.batch(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
         self._room("flat", self.used + len(flat))
-        self._room("starts", self.n + len(found))
-        self._room("sizes", self.n + len(found))
+        for name in ("hashes", "starts", "sizes"):
+            self._room(name, self.n + len(found))
         self.flat[self.used : self.used + len(flat)] = flat
+        self.hashes[self.n : self.n + len(found)] = hashes
         self.starts[self.n : self.n + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.n : self.n + len(found)] = sizes
         self.n, self.used = self.n + len(found), self.used + len(flat)
@@ -196,18 +202,22 @@ class Encoder:
             self.clear()
         starts = cuts(data, offsets)
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
         hashes = kernel.span_hashes(data, starts, ends, kernel.EXACT)
         slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
         entry = self.entries[slot].astype(np.int64)
-        missing = np.flatnonzero((self.keys[slot] != hashes) | (entry < 0))
+        other = np.flatnonzero(self.hashes[entry] != hashes)
+        entry[other] = self.entries[slot[other] ^ 1]  # the other place of the set
+        missing = other[(self.hashes[entry[other]] != hashes[other]) | (entry[other] == 0)]
         if len(missing):
             _, at, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
             raw, first = data.tobytes(), missing[at]
-            new = self._learn([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            new = self._learn([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], hashes[first])
             entry[missing] = new[back]
-            self.keys[slot[first]], self.entries[slot[first]] = hashes[first], new
+            # Of a set's two places an empty one, or else the own one.
+            place = slot[first]
+            self.entries[np.where((self.entries[place] > 0) & (self.entries[place ^ 1] == 0), place ^ 1, place)] = new
         sizes = self.sizes[entry].astype(np.int64)
         ends_at = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[entry] - (ends_at - sizes), sizes) + np.arange(ends_at[-1])]
@@ -215,14 +225,9 @@ class Encoder:
         return ids, np.diff(before[np.searchsorted(starts, offsets)])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kernel.held(("encoder", path), lambda: Encoder(path))
 
 
 def with_ends(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +249,7 @@ def token_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
         coder = encoder(tokenizer)
         total = np.zeros(max(coder.vocabulary, END_ID + 1), np.int64)
         for batch in batches:
-            for a, b, data, offsets in kernel.text_slices(batch.column(0)):
+            for a, b, data, offsets in kernel.text_slices(batch.column(0), TEXT_BYTES):
                 total += np.bincount(coder.encode(data, offsets)[0], minlength=len(total))
                 total[END_ID] += b - a
         some = np.flatnonzero(total)
@@ -283,7 +288,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     """Write the token ids of all texts, in ascending order of ids, to a folder."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = token_counts(rows.select("text"), tokenizer).orderBy(F.desc("n"), "id").select("id").collect()  # a row an id of the vocabulary
+    with arrow_rows(spark, BATCH_ROWS):
+        counts = token_counts(rows.select("text"), tokenizer).orderBy(F.desc("n"), "id").select("id").collect()  # a row an id of the vocabulary
     by_rank = [r.id for r in counts]
     spark.createDataFrame([(k, i) for k, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max(by_rank, default=0) + 1, np.uint32)
@@ -297,7 +303,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     def coded(batches):
         coder, (rank, bounds) = encoder(tokenizer), shared.value
         for batch in batches:
-            for a, b, data, offsets in kernel.text_slices(batch.column(1)):
+            for a, b, data, offsets in kernel.text_slices(batch.column(1), TEXT_BYTES):
                 ids, n_tokens = with_ends(*coder.encode(data, offsets))
                 control, stream, n_control, n_data = encode(rank[ids], n_tokens)
                 own = batch.column(0).slice(a, b - a)
@@ -306,7 +312,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(shards), own, pa.array(n_tokens), *parts], names=["shard", "doc_id", "n_tokens", "control", "data"])
 
     ordered = rows.mapInArrow(coded, "shard int, doc_id long, n_tokens long, control binary, data binary").repartition(int(n), "shard").sortWithinPartitions("shard", "doc_id")
-    ordered.mapInArrow(_blocks, "shard int, block int, start long, n_tokens long, payload binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks = ordered.mapInArrow(_blocks, "shard int, block int, start long, n_tokens long, payload binary")
+    with arrow_rows(spark, BATCH_ROWS):
+        blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 # ---------------------------------------------------------------------------------------------- reading

@@ -27,7 +27,7 @@ def plain(texts):
 def test_pieces_encode_like_whole_texts():
     import pyarrow as pa
 
-    texts = tricky()
+    texts = tricky(3000)
     coder = tokenfiles.Encoder(PATH)
     for _ in range(2):  # the second time from the table
         data, offsets = kernel.string_buffers(pa.array(texts))
