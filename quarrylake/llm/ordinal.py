@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import kernel
 
 BUCKETS, KINDS = 1 << 15, 4
-DOCS, LEARN_BYTES = 3000, 6000
+DOCS, LEARN_BYTES = 1500, 3000
 EPOCHS, BATCH, RATE, DECAY, SCALE = 20, 64, 0.05, 1e-4, 4.0
 SCHEMA = "doc_id long, expected_grade double, tail_prob double, grade int"
 _CLASS = np.zeros(256, np.uint64)
@@ -37,7 +37,7 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of every word (words by kinds), and for each text the index of its first word."""
     starts, ends, first = kernel.word_spans(data, offsets, kernel.SPACED)
-    out = np.zeros((len(starts), KINDS), np.int64)
+    out = np.zeros((len(starts), KINDS), np.int32)
     if not len(starts):
         return out, first
     words = kernel.span_hashes(data, starts, ends, kernel.SPACED)
@@ -47,7 +47,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     same[1:] = words[1:] == words[:-1]
     same[first[:-1][np.diff(first) > 0]] = 0
     for k, h in enumerate((words, tails, kernel.mix(shape), kernel.mix(same))):
-        out[:, k] = (h >> np.uint64(64 - 15)).astype(np.int64) + k * BUCKETS
+        out[:, k] = (h >> np.uint64(64 - 15)).astype(np.int32) + k * BUCKETS
     return out, first
 
 
