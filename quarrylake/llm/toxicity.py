@@ -34,7 +34,7 @@ WINDOW, STRIDE = 16, 8
 WORDS, GRAMS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 15, 1 << 14, 8, 8, 8
 #: Bytes of the prefixes that count as characters beside the trigrams.
 PREFIXES = (4, 6, 8)
-DOCS, LEARN_WORDS = 1500, 2000
+DOCS, LEARN_WORDS = 1500, 1000
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 128, 0.01
 #: Steps that a round takes at least, where documents are few.
 STEPS = 80
@@ -109,9 +109,11 @@ class Network:
     def inputs(self, words: Words) -> np.ndarray:
         out = np.empty((len(words.bucket), WORD_DIM + CHAR_DIM), np.float32)
         out[:, :WORD_DIM] = self.p["words"][words.bucket]
-        if len(out):
-            sizes = np.diff(np.append(words.gram_start, len(words.gram)))
-            out[:, WORD_DIM:] = np.add.reduceat(self.p["grams"][words.gram], words.gram_start, axis=0) / sizes[:, None]
+        bounds = np.append(words.gram_start, len(words.gram))
+        for a in range(0, len(out), CHUNK):
+            own = bounds[a : a + CHUNK + 1]
+            sums = np.add.reduceat(self.p["grams"][words.gram[own[0] : own[-1]]], own[:-1] - own[0], axis=0)
+            out[a : a + CHUNK, WORD_DIM:] = sums / np.diff(own)[:, None]
         return out
 
     def _run(self, way: str, x: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, list]:
@@ -211,14 +213,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Network:
     words = Words(data, offsets)
     starts, sizes, text = windows(words.first)
     # Log-odds of word and gram buckets over documents, damped for rare ones.
-    doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    odds = _odds(doc, words.bucket[words.row], toxic, WORDS)
-    lengths = np.diff(np.append(words.gram_start, len(words.gram)))
-    different = np.unique(doc * len(words.bucket) + words.row)
-    doc, row = different // len(words.bucket), different % len(words.bucket)
-    n = lengths[row]
-    grams = words.gram[np.repeat(words.gram_start[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    gram_odds = _odds(np.repeat(doc, n), grams, toxic, GRAMS)
+    odds, gram_odds = _odds(words, toxic)
     net.p["words"][:, 0], net.p["grams"][:, 0] = odds, gram_odds
     best = np.maximum.reduceat(gram_odds[words.gram], words.gram_start)
     of_word = np.append((odds[words.bucket] + best)[words.row], 0)
@@ -244,11 +239,18 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Network:
     return net
 
 
-def _odds(docs: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
-    pairs = np.unique(docs * n + buckets)
-    seen = [np.bincount(pairs[toxic[pairs // n] == k] % n, minlength=n) / max(1, (toxic == k).sum()) for k in (0, 1)]
-    damp = 8.0 / len(toxic)
-    return np.log((seen[1] + damp) / (seen[0] + damp)).astype(np.float32)
+def _odds(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of word and gram buckets, by how many documents of either class have them (a few at a time)."""
+    seen = {n: np.zeros((2, n)) for n in (WORDS, GRAMS)}
+    bounds = np.append(words.gram_start, len(words.gram))
+    for doc, label in enumerate(toxic.tolist()):
+        rows = np.unique(words.row[words.first[doc] : words.first[doc + 1]])
+        sizes = bounds[rows + 1] - bounds[rows]
+        at = np.repeat(bounds[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        seen[WORDS][label, np.unique(words.bucket[rows])] += 1
+        seen[GRAMS][label, np.unique(words.gram[at])] += 1
+    damp, n = 8.0 / len(toxic), np.maximum(np.bincount(toxic, minlength=2), 1)[:, None]
+    return tuple(np.log((x[1] + damp) / (x[0] + damp)).astype(np.float32) for x in (seen[WORDS] / n, seen[GRAMS] / n))
 
 
 def _step(net: Network, words: Words, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, adam: dict, turn: int) -> None:
