@@ -8,7 +8,8 @@ access identifier, a secret and an endpoint.  The scan also collects weak candid
 * secrets: base ``assign`` and ``hex`` findings, and mixed runs of 16 or more letters and digits (``weak_secret``);
 * endpoints: URLs and host:port pairs (``endpoint``).
 
-A part's scope is its line and ``REACH`` characters to either side.  Parts are joined by interval: a weak
+A part's scope is ``REACH`` characters to either side, line breaks included (credentials are often written
+one part a line).  Parts are joined by interval: a weak
 identifier is reported only if a secret lies in its scope, a weak secret only if an identifier does, an
 endpoint only if both do.  The join sorts starts and ends within each text (each document is a partition
 of its own, so nothing is shuffled) and looks up whether a complement overlaps: n log n in the parts, no pairs.
@@ -79,15 +80,9 @@ def _overlaps(spans: np.ndarray, others: np.ndarray) -> np.ndarray:
     return begun > ended
 
 
-def _scopes(text: str, spans: np.ndarray) -> np.ndarray:
-    """Each span widened to REACH characters on its own line."""
-    out = spans.copy()
-    for i, (a, b) in enumerate(spans.tolist()):
-        line = text.rfind("\n", max(0, a - REACH), a)
-        out[i, 0] = max(0, a - REACH) if line < 0 else line + 1
-        line = text.find("\n", b, b + REACH)
-        out[i, 1] = b + REACH if line < 0 else line
-    return out
+def _scopes(spans: np.ndarray) -> np.ndarray:
+    """Each span widened by REACH characters to either side, whatever lines they are on."""
+    return spans + np.array([-REACH, REACH])
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -105,7 +100,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         return []
     out = []
     for spans, kind, needs in ((ids, "weak_id", (all_secrets,)), (secrets, "weak_secret", (all_ids,)), (ends, "endpoint", (all_ids, all_secrets))):
-        scopes = _scopes(text, spans)
+        scopes = _scopes(spans)
         keep = np.ones(len(spans), dtype=bool)
         for others in needs:
             keep &= _overlaps(scopes, others)
