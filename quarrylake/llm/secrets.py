@@ -5,7 +5,8 @@ Base findings stand by themselves: ``assign`` (a named value), ``access`` (an ac
 access identifier, a secret and an endpoint.  The scan also collects weak candidates for each part:
 
 * identifiers: base ``access`` findings, shorter ``AKIA`` runs, and values named id, user or login (``weak_id``);
-* secrets: base ``assign`` and ``hex`` findings, and mixed runs of 16 or more letters and digits (``weak_secret``);
+* secrets: base ``assign`` and ``hex`` findings, and runs of 16 or more letters, digits and base64 signs that mix lower
+  case, upper case and digits or have ``_LEAST_BITS`` of entropy a character, other than names of values (``weak_secret``);
 * endpoints: URLs and host:port pairs (``endpoint``).
 
 A part's scope is ``REACH`` characters to either side, line breaks included (credentials are often written
@@ -24,7 +25,9 @@ repeated rows agree; further columns are ignored; texts of any length are scanne
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,10 @@ _NAMES = "|".join((_either("password"), _either("passwd"), _either("secret"), _e
 _ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the same as the long ones among all maximal runs
-_DIGIT_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_ONE_CLASS = re.compile(r"[a-z+/_-]+|[A-Z+/_-]+|[0-9+/_-]+")
+_NAME = re.compile(r"""[A-Za-z+/_-]+["']?[\x20\t]*[:=][\x20\t]*["']?[^\s"'=]""")  # a digitless run with a value after it
+_LEAST_BITS = 3.0
 _WEAK_ID = re.compile(r"""(?:user(?:name)?|login|client_?id|account|key_?id)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@-]{3,64})""", re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,2048}|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,12}:\d{2,5}\b")
 
@@ -60,6 +66,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _bits(run: str) -> float:
+    """Shannon entropy of a character."""
+    return math.log2(len(run)) - sum(n * math.log2(n) for n in Counter(run).values()) / len(run)
+
+
 def _weak_spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
     ids = [m.span() for m in _ACCESS.finditer(text) if m.end() - m.start() < 20] if "AKIA" in text else []
     ends = []
@@ -67,7 +78,7 @@ def _weak_spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]
         ids += [m.span() for m in _WEAK_ID.finditer(text)]
     if ":" in text:
         ends = [m.span() for m in _ENDPOINT.finditer(text)]
-    secrets = [m.span() for m in _DIGIT_RUN.finditer(text) if (run := m[0]) and 4 <= sum(map(str.isdigit, run)) < len(run) - 3]
+    secrets = [m.span() for m in _RUN.finditer(text) if (not _ONE_CLASS.fullmatch(m[0]) or _bits(m[0]) >= _LEAST_BITS) and not _NAME.match(text, m.start())]
     return ids, secrets, ends
 
 
