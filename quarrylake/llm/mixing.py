@@ -105,10 +105,13 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number, once at least if any of it is taken."""
+    """Each document as often as the mix takes it, to the nearest whole number, once at least if any of it is taken.
+
+    Rows that share an id, null included, share its count.
+    """
     copies = mixture(docs, id_col, text_col, source_col).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0")
-    copies = materialize(copies.select(F.col("doc_id").alias(id_col), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies")), "copies")
-    return docs.join(bounded(copies, copies.count()), id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = materialize(copies.select(F.col("doc_id").alias("_id"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies")), "copies")
+    return docs.join(bounded(copies, copies.count()), F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 SQL = r"""

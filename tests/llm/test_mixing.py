@@ -46,3 +46,12 @@ def test_repeats_and_empty(spark):
     assert out.columns == df.columns and 0 < out.count() <= 3 * 66
     assert mixing.mixture(df.limit(0)).count() == 0
     assert mixing.mixture(df.withColumn("text", F.lit(None).cast("string"))).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_repeats_keep_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c", "s"), (None, "d e", None), (1, "f g", "s"), (2, "", "s")], "doc_id long, text string, source string")
+    taken = {r.size: r.taken for r in mixing.mixture(df).where("doc_id IS NULL").collect()}
+    times = max(1, round(sum(taken.values()) / sum(taken)))
+    out = mixing.repeat_by_mix(df).collect()
+    assert sum(taken.values()) > 0 and sorted(r.text for r in out if r.doc_id is None) == sorted(["a b c", "d e"] * times)
+    assert any(r.doc_id == 1 for r in out) and not any(r.doc_id == 2 for r in out)

@@ -41,3 +41,15 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert [r.doc_id for r in found] == sorted(r.doc_id for r in found)
     assert set(times) == ids[3] and max(times.values()) <= 3
+
+
+def test_null_ids_reach_the_token_files(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as pipeline
+
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in corpus(20)]
+    rows.append((None, "a document without an id that no other document here is like", "en", "z", 60))  # all of a small source is taken three times
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in found) == 3 < len(found)
