@@ -9,8 +9,8 @@ Features of a text are, for each word (run of anything but white space): the fol
 bytes, its shape (length, first and last byte's class), and whether it repeats the word before.  Each kind has
 its own buckets; ``x`` is the share of the words in a bucket, so long and short texts compare.
 
-Learning reads at most ``DOCS`` rated documents of each grade, picked by hash, each cut to a run of
-``LEARN_BYTES`` characters from a hashed place.  Scoring reads whole texts.
+Learning reads at most ``DOCS`` rated documents of each grade, picked by hash.  It reads their whole texts, as
+scoring does: executors count the features, and the driver gets, of each document, its buckets and their counts.
 
 Defined cases: null and empty texts have no features and get the grade of the thresholds alone; null ratings
 are not learned from; with fewer than two grades every document has the one known grade (or 0);
@@ -19,6 +19,8 @@ null ids are kept; rows are judged one by one; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from . import kernel
 
 BUCKETS, KINDS = 1 << 15, 4
-DOCS, LEARN_BYTES = 1500, 3000
+DOCS = 3000
 EPOCHS, BATCH, RATE, DECAY, SCALE = 20, 64, 0.05, 1e-4, 4.0
+SAMPLE = "doc_id string, grade int, turn long, n_words long, used binary, times binary"
 SCHEMA = "doc_id long, expected_grade double, tail_prob double, grade int"
 _CLASS = np.zeros(256, np.uint64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
@@ -78,28 +81,35 @@ class Model:
         return SCALE * means(self.weights[buckets].sum(1), first)
 
 
-def train(texts: list[str], grades: np.ndarray, seed: int = 3) -> Model:
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``doc_id, grade, turn, text``: each text's number of words, and the buckets of its features with counts."""
+    for batch in batches:
+        for a, b, data, offsets in kernel.text_slices(batch.column(3)):
+            buckets, first = features(data, offsets)
+            own = [np.unique(buckets[i:j], return_counts=True) for i, j in zip(first[:-1], first[1:], strict=True)]
+            used, times = (pa.array([x[k].astype(np.int32).tobytes() for x in own], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(np.diff(first).astype(np.int64)), used, times], names=["doc_id", "grade", "turn", "n_words", "used", "times"])
+
+
+def train(sizes: np.ndarray, used: list[bytes], times: list[bytes], grades: np.ndarray, seed: int = 3) -> Model:
     """Fit weights and thresholds (Adagrad on the log-likelihood, with weight decay)."""
     top = int(grades.max()) + 1 if len(grades) else 1
     model = Model(top)
     if top < 2:
         return model
-    data, offsets = kernel.string_buffers(pa.array(texts, pa.large_string()))
-    buckets, first = features(data, offsets)
     share = np.bincount(grades, minlength=top)[::-1].cumsum()[::-1][1:] / len(grades)
     cut = np.maximum.accumulate(-np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3))) + np.arange(top - 1) * 1e-3)
     model.low, model.gaps = float(cut[0]), np.log(np.maximum(np.diff(cut), 1e-3))
     seen, seen_cut = np.full(len(model.weights), 1e-6), np.full(top - 1, 1e-6)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(grades))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
-            n = np.diff(first)[part]
-            inside = np.cumsum(n) - n
-            rows = np.repeat(first[:-1][part] - inside, n) + np.arange(int(n.sum()))
-            own = buckets[rows]
-            x = SCALE * means(model.weights[own].sum(1), np.append(inside, int(n.sum())))
+            n = np.maximum(sizes[part], 1)
+            own, count = (np.frombuffer(b"".join(x[i] for i in part), np.int32) for x in (used, times))
+            row = np.repeat(np.arange(len(part)), [len(used[i]) // 4 for i in part])
+            x = SCALE * np.bincount(row, model.weights[own] * count, len(part)) / n
             # P(y) = F(t_y - x) - F(t_(y-1) - x); slopes of its log by x and by the thresholds.
             t, y = model.thresholds, grades[part]
             upper = np.where(y < top - 1, t[np.minimum(y, top - 2)] - x, 60.0)
@@ -111,12 +121,11 @@ def train(texts: list[str], grades: np.ndarray, seed: int = 3) -> Model:
             np.add.at(dt, y[y < top - 1], du[y < top - 1])
             np.add.at(dt, y[y > 0] - 1, dl[y > 0])
             dt /= len(part)
-            dx = -(du + dl) * SCALE / np.maximum(n, 1) / len(part)
-            flat = own.ravel()
-            used, at = np.unique(flat, return_inverse=True)
-            slope = np.bincount(at, np.repeat(np.repeat(dx, n), KINDS), len(used)) - DECAY * model.weights[used]
-            seen[used] += slope**2
-            model.weights[used] += RATE * slope / np.sqrt(seen[used])
+            dx = -(du + dl) * SCALE / n / len(part)
+            different, at = np.unique(own, return_inverse=True)
+            slope = np.bincount(at, dx[row] * count, len(different)) - DECAY * model.weights[different]
+            seen[different] += slope**2
+            model.weights[different] += RATE * slope / np.sqrt(seen[different])
             dcut = np.append(dt.sum(), [dt[k + 1 :].sum() * np.exp(model.gaps[k]) for k in range(top - 2)])
             seen_cut += dcut**2
             step = RATE * dcut / np.sqrt(seen_cut)
@@ -136,10 +145,10 @@ def learn(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     for grade in range(top + 1):
         part = known.where(F.col("grade") == grade).orderBy(turn, "doc_id").limit(DOCS)
         picked = part if picked is None else picked.unionByName(part)
-    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - LEARN_BYTES + 1))
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = named.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", F.substring("text", start.cast("int"), F.lit(LEARN_BYTES)).alias("text")).orderBy("doc_id", "grade", "text").collect()
-    return train([r.text for r in rows], np.array([r.grade for r in rows], np.int64))
+    rows = named.join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string"), "grade", F.xxhash64("text").alias("turn"), "text").mapInArrow(counted, SAMPLE)
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("turn", "ascending")])
+    return train(rows["n_words"].to_numpy(), rows["used"].to_pylist(), rows["times"].to_pylist(), rows["grade"].to_numpy().astype(np.int64))
 
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", tail: int | None = None) -> DataFrame:

@@ -10,9 +10,8 @@ document, the window the present model finds worst, and of every clean document
 one.  The first round ranks windows by the words' log-odds, which also start one dimension of the word
 embedding.  Gradients go through attention, both recurrent layers and both embeddings (Adam).
 
-Learning reads at most ``DOCS`` labelled documents of each class, picked by hash, and of one longer than
-``LEARN_WORDS`` words a run of that many from a hashed place; the driver holds no more.  Scoring has no
-such bounds.
+Learning reads at most ``DOCS`` labelled documents of each class, picked by hash, and all windows of each.  The
+driver takes their texts in blocks and holds a number for each of their words.  Scoring has no such bounds.
 
 Defined cases: null and empty texts, and texts without words, get the score of an empty window; null labels
 are not learned from; without both classes every score is 0; null ids are kept; rows are judged one by one;
@@ -34,7 +33,7 @@ WINDOW, STRIDE = 16, 8
 WORDS, GRAMS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 15, 1 << 14, 8, 8, 8
 #: Bytes of the prefixes that count as characters beside the trigrams.
 PREFIXES = (4, 6, 8)
-DOCS, LEARN_WORDS = 1500, 1000
+DOCS = 1500
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 128, 0.01
 #: Steps that a round takes at least, where documents are few.
 STEPS = 80
@@ -53,11 +52,27 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, self.first = kernel.word_spans(data, offsets, kernel.ALNUM)
         hashes = kernel.span_hashes(data, starts, ends, kernel.ALNUM)
-        different, at, self.row = np.unique(hashes, return_index=True, return_inverse=True)
-        self.bucket = (different >> np.uint64(64 - 15)).astype(np.int64)
+        self.hash, at, self.row = np.unique(hashes, return_index=True, return_inverse=True)
+        self.bucket = (self.hash >> np.uint64(64 - 15)).astype(np.int64)
         self.gram, self.gram_start = _character_grams(data, starts[at], ends[at])
 
 
+def gathered(texts: pa.ChunkedArray) -> Words:
+    """The words of all texts, made from blocks of them."""
+    parts = [Words(data, offsets) for chunk in texts.chunks for _, _, data, offsets in kernel.text_slices(chunk)]
+    out = Words.__new__(Words)
+    out.hash, at, row = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
+    base, begun = (np.cumsum([0, *(len(x) for x in xs)]) for xs in ([p.hash for p in parts], [p.gram for p in parts]))
+    out.row = np.concatenate([row[a : a + len(p.hash)].astype(np.int32)[p.row] for a, p in zip(base, parts, strict=False)])
+    out.first = np.append(0, np.cumsum(np.concatenate([np.diff(p.first) for p in parts])))
+    out.bucket = np.concatenate([p.bucket for p in parts])[at]
+    sizes = np.concatenate([np.diff(np.append(p.gram_start, len(p.gram))) for p in parts])[at]
+    start = np.concatenate([p.gram_start + a for a, p in zip(begun, parts, strict=False)])[at]
+    out.gram_start = np.cumsum(sizes) - sizes
+    out.gram = np.concatenate([p.gram for p in parts])[np.repeat(start - out.gram_start, sizes) + np.arange(int(sizes.sum()))]
+    return out
+
+
 def _character_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte trigrams (with a mark on either side) and prefixes of each word, and where each word's begin."""
     sizes = ends - starts  # a word of n bytes has n trigrams and all of PREFIXES, cut to its length
@@ -206,11 +221,9 @@ def _steps(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
 # --------------------------------------------------------------------------------------------- learning
 
 
-def train(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Network:
-    """Fit a network to documents and their labels."""
+def train(words: Words, toxic: np.ndarray, seed: int = 1) -> Network:
+    """Fit a network to the words of documents and their labels."""
     net = Network(seed)
-    data, offsets = kernel.string_buffers(pa.array(texts, pa.large_string()))
-    words = Words(data, offsets)
     starts, sizes, text = windows(words.first)
     # Log-odds of word and gram buckets over documents, damped for rare ones.
     odds, gram_odds = _odds(words, toxic)
@@ -219,7 +232,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Network:
     of_word = np.append((odds[words.bucket] + best)[words.row], 0)
     total = np.concatenate([[0], np.cumsum(np.maximum(of_word, 0))])
     rank = total[starts + sizes] - total[starts]
-    first = np.searchsorted(text, np.arange(len(texts)))
+    first = np.searchsorted(text, np.arange(len(toxic)))
     rng = np.random.default_rng(seed)
     adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     steps = 0
@@ -288,18 +301,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.where(F.col("label") == label).orderBy(turn, "doc_id").limit(DOCS)
         picked = part if picked is None else picked.unionByName(part)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
-    rows = named.join(F.broadcast(picked), "doc_id").select("doc_id", "label", _run_of_words("text")).orderBy("doc_id", "label", "text").collect()
-    toxic = np.array([r.label for r in rows], np.int64)
+    rows = named.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "label", "text").select("label", "text").toArrow()
+    toxic = rows["label"].to_numpy().astype(np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
-    return train([r.text for r in rows], toxic)
-
-
-def _run_of_words(column: str):
-    """At most LEARN_WORDS words, from a place that a hash of the text gives."""
-    words = F.split(column, r"\s+")
-    start = 1 + F.pmod(F.xxhash64(column), F.greatest(F.lit(1), F.size(words) - LEARN_WORDS + 1))
-    return F.concat_ws(" ", F.slice(words, start.cast("int"), LEARN_WORDS)).alias("text")
+    words = gathered(rows["text"])
+    del rows
+    kernel.release()
+    return train(words, toxic)
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,3 +35,15 @@ def test_grades_on_held_out_rows(spark):
     assert found[0].grade >= 2
     assert ordinal.grade(odd.limit(0), model).count() == 0
     assert ordinal.grade(odd, ordinal.learn(df, ratings.where("grade > 9"))).agg({"grade": "max"}).first()[0] == 0
+
+
+def test_learns_from_whole_texts(spark):
+    rows = corpus(120)
+    filler = "plain " * 3000
+    rows = [(i, filler + t + " " + filler, g) for i, t, g in rows]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = ordinal.learn(df, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int"))
+    word, noise = (ordinal.kernel.string_buffers(ordinal.pa.array([w])) for w in ("flowing", "$$x$"))
+    assert model.scale(*word)[0] > 0.5 > -0.5 > model.scale(*noise)[0]
+    sample = spark.createDataFrame([(str(i), g, i, t) for i, t, g in rows[:5]], "doc_id string, grade int, turn long, text string").mapInArrow(ordinal.counted, ordinal.SAMPLE).collect()
+    assert all(r.n_words == 6060 and np.frombuffer(r.times, np.int32).sum() == 4 * 6060 for r in sample)

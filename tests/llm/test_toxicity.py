@@ -74,3 +74,20 @@ def test_scores_do_not_depend_on_neighbours():
     data, offsets = kernel.string_buffers(pa.array(texts))
     alone = [net.scores(*kernel.string_buffers(pa.array([t])))[0] for t in texts]
     assert np.allclose(net.scores(data, offsets), alone, atol=1e-5)
+
+
+def test_learns_from_all_words_of_long_texts(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(toxicity, "train", lambda words, toxic: held.append((words, toxic)))
+    df = spark.createDataFrame([(1, "la " * 2500 + "idiot scum " + "la " * 2500), (2, "so " * 4000), (3, None)], "doc_id long, text string")
+    toxicity.learn(df, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int"))
+    (words, toxic), = held
+    assert np.diff(words.first).tolist() == [5002, 4000] and toxic.tolist() == [1, 0]
+
+
+def test_blocks_give_the_words_of_the_whole():
+    texts = [t for _, t, _ in corpus(60)] + ["", "du du"]
+    whole = toxicity.Words(*kernel.string_buffers(pa.array(texts)))
+    got = toxicity.gathered(pa.chunked_array([texts[:7], texts[7:8], texts[8:40], texts[40:]]))
+    for name in ("hash", "row", "first", "bucket", "gram", "gram_start"):
+        assert np.array_equal(getattr(got, name), getattr(whole, name)), name
