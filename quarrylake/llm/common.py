@@ -10,8 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a two-column id table that may be broadcast (about 16 bytes each, so 64 MB at most).
-BROADCAST_ROWS = 4_000_000
+#: Rows of a two-column id table that may be broadcast (some 50 bytes each in a hashed relation, so 100 MB at most).
+BROADCAST_ROWS = 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in tests on
-    one machine, a temporary folder is made and remembered for the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and all of Spark runs in one
+    process, as in tests, a temporary folder is made and remembered for the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrylake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,6 +44,34 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one operator, deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """Like :func:`materialize`."""
+        path = fresh_path(self.spark, what)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)  # the table is held, so its id stays its own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            if found := self.paths.pop(id(table), None):
+                delete_path(self.spark, found[0])
+
+    def drop_all(self, *needed: DataFrame) -> None:
+        """Delete all but the files that the given tables are read from."""
+        wanted = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for table in needed for f in table.inputFiles()}
+        for key, (path, _) in list(self.paths.items()):
+            if path.split(":", 1)[-1].lstrip("/") not in wanted:
+                del self.paths[key]
+                delete_path(self.spark, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through the file system Spark itself uses for it."""
     jvm = spark.sparkContext._jvm

@@ -7,14 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from . import kernel
+from .common import Scratch
 
 ROUNDS = 60
 #: Links (16 bytes each) that one task may hold to settle them at once; more are settled by rounds of joins.
 TASK_LINKS = 1_000_000
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every node of some links that isn't the smallest it reaches, and that smallest."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = ends[: len(a)], ends[len(a) :]
@@ -37,38 +38,40 @@ def spanning_forest(links: DataFrame, whole: bool = False) -> DataFrame:
     Batch by batch, or (whole) all links of a partition at once.
     """
 
-    def forest(batches):
+    @kernel.tidy
+    def settle(batches):
         pairs = ((batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches)
         if whole:
             none = np.zeros(0, np.int64)
             pairs = [tuple(np.concatenate(x) for x in zip((none, none), *pairs, strict=True))]
         for a, b in pairs:
-            node, low = _forest(a, b)
+            node, low = forest(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(low)], names=["a", "b"])
 
-    return links.mapInArrow(forest, "a long, b long")
+    return links.mapInArrow(settle, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, component`` for each node that has a link: the smallest node that it reaches.
 
     Each round every node takes the smallest label among its neighbours' and its own, then its
     label's label; labels halve their distance to the smallest node each round.
     """
-    links = materialize(spanning_forest(links.select("a", "b").where("a <> b")), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    links = scratch.keep(spanning_forest(links.select("a", "b").where("a <> b")), "links")
     if links.count() <= TASK_LINKS:
-        tree = materialize(spanning_forest(links.coalesce(1), whole=True), "labels")
+        tree = scratch.keep(spanning_forest(links.coalesce(1), whole=True), "labels")
         # Each tree's smallest node stands for itself.
         roots = tree.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
         return tree.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
     links = links.distinct()
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
     for _ in range(ROUNDS):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         low = labels.join(near, labels.node == near.a).select("node", F.least("component", "near").alias("low"), F.col("component").alias("was"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        stepped = materialize(low.join(up, "low").select("node", F.least("low", "up").alias("component"), "was"), "labels")
+        stepped = scratch.keep(low.join(up, "low").select("node", F.least("low", "up").alias("component"), "was"), "labels")
         labels = stepped.select("node", "component")
         if not stepped.where("component <> was").limit(1).count():
             return labels

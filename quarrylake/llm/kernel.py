@@ -1,12 +1,19 @@
 """Vectorised text kernel: words, word hashes and word n-gram hashes of many texts at once.
 
-Everything works on the UTF-8 bytes of an Arrow string column, a megabyte at a time, so memory
-stays bounded by :data:`SLICE_BYTES` or the longest single text, whichever is larger.
+Everything works on the UTF-8 bytes of an Arrow string column, a megabyte at a time; a longer text is cut
+inside, so working memory is a few bytes for each byte of it.
+
+Hashes find candidates only.  A span's hash takes its bytes eight at a time, each lane mixed into the
+state by a bijection that isn't linear (beyond ``LONG`` bytes: a BLAKE2 digest), so spans of up to eight bytes and one length never collide.
+Where a match is confirmed, :func:`equal_spans` compares the bytes themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +41,13 @@ def constants(n: int, salt: int) -> np.ndarray:
 
 
 class Alphabet:
-    """Which bytes belong to words, and the 64-bit value of each byte, A-Z folded to a-z if asked."""
+    """Which bytes belong to words, and what each byte counts as: A-Z folded to a-z if asked."""
 
     def __init__(self, separators: list[int], fold: bool = True):
         self.inside = np.ones(256, dtype=bool)
         self.inside[separators] = False
-        folded = np.arange(256, dtype=np.uint64)
-        folded[65:91] += np.uint64(32 * fold)
-        self.value = mix(folded + np.uint64(1 << 20))
+        self.letter = np.arange(256, dtype=np.uint8)
+        self.letter[65:91] += np.uint8(32 * fold)
 
 
 #: Words are runs of anything but space and the control characters 9 to 13.
@@ -51,9 +57,10 @@ ALNUM = Alphabet([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *r
 #: All bytes as they are.
 EXACT = Alphabet([], fold=False)
 
-_P = 0xD1B54A32D192ED03
-_P_INV = pow(_P, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of a span that are mixed lane by lane, and spans hashed at once.
+LONG, SPANS = 256, 1 << 16
+#: The first k bytes of a lane.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _held: dict[object, object] = {}
 
 
@@ -67,19 +74,30 @@ def held(name: object, make):
 
 def release() -> None:
     """Give back what this worker process has kept, before work that needs room of its own."""
-    if _held or _powers:
-        _held.clear()
-        _powers.clear()
-        pa.default_memory_pool().release_unused()
+    _held.clear()
+    _trim()
+
+
+def _trim() -> None:
+    """Hand free memory back to the system: idle worker processes share a machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(work: Callable) -> Callable:
+    """A function over batches that leaves no free memory with its worker process."""
 
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _trim()
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", _P), ("down", _P_INV)):
-            table = np.full(n + 1024, base, dtype=np.uint64)
-            table[0] = 1
-            _powers[name] = np.cumprod(table, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+    return run
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,28 +130,62 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> tup
 
     ``offsets`` count from the start of ``data``; words never cross texts.
     """
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = alphabet.inside[data]
-    edges = np.zeros(len(data) + 1, dtype=bool)
-    edges[offsets] = True
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edges[:-1]))
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edges[1:])) + 1
+    starts, ends, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], len(data)
+    for a in range(0, n, SLICE_BYTES):
+        b = min(n, a + SLICE_BYTES)
+        # One byte before and behind; outside of all texts is no word.
+        inside = np.zeros(b - a + 2, dtype=bool)
+        low, high = max(a - 1, 0), min(b + 1, n)
+        inside[low - a + 1 : high - a + 1] = alphabet.inside[data[low:high]]
+        edge = np.zeros(b - a + 1, dtype=bool)
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a] = True
+        own = inside[1:-1]
+        starts.append(np.flatnonzero(own & (~inside[:-2] | edge[:-1])) + a)
+        ends.append(np.flatnonzero(own & (~inside[2:] | edge[1:])) + a + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, alphabet: Alphabet) -> np.ndarray:
-    """64-bit hash of each span, from one prefix sum over all bytes."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(alphabet.value[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def lanes(data: np.ndarray, alphabet: Alphabet) -> np.ndarray:
+    """The eight bytes from each place on as a number, the first byte lowest; behind the end are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(alphabet.letter, data, out=padded[: len(data)], mode="clip")
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, alphabet: Alphabet, eights: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each span."""
+    eights = lanes(data, alphabet) if eights is None else eights
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), SPANS):
+        start = starts[a : a + SPANS]
+        size = ends[a : a + SPANS] - start
+        h = mix(mix(size.astype(np.uint64)) ^ (eights[start] & _MASK[np.minimum(size, 8)]))
+        rows, at = np.flatnonzero(size > 8), 8
+        while len(rows) and at < LONG:
+            left = size[rows] - at
+            h[rows] = mix(h[rows] ^ (eights[start[rows] + at] & _MASK[np.minimum(left, 8)]))
+            at += 8
+            rows = rows[left > 8]
+        for i in np.flatnonzero(size > LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(alphabet.letter[data[start[i] : start[i] + size[i]]], digest_size=8).digest(), "little")
+        out[a : a + SPANS] = h
+    return out
+
+
+def equal_spans(one: np.ndarray, one_starts: np.ndarray, one_ends: np.ndarray, two: np.ndarray, two_starts: np.ndarray, two_ends: np.ndarray) -> np.ndarray:
+    """Whether spans of one text (as :func:`lanes`) and of another have the same bytes, pair by pair."""
+    size = one_ends - one_starts
+    same = size == two_ends - two_starts
+    rows, at = np.flatnonzero(same & (size > 0)), 0
+    while len(rows):
+        left = size[rows] - at
+        mask = _MASK[np.minimum(left, 8)]
+        unequal = ((one[one_starts[rows] + at] ^ two[two_starts[rows] + at]) & mask) != 0
+        same[rows[unequal]] = False
+        at += 8
+        rows = rows[(left > 8) & ~unequal]
+    return same
 
 
 def gram_hashes(words: np.ndarray, n: int, salt: int = 7) -> np.ndarray:

@@ -14,13 +14,18 @@ as often as their Jaccard similarity (locality-sensitive).
    document with the two likeliest of other hubs.
 4. A candidate's similarity is estimated from all registers and both set sizes by maximum likelihood;
    below ``CUT`` (six standard errors under the threshold) it goes no further.  The rest are confirmed on
-   the full sets, from the whole texts.
-5. What is undecided then is compared without exception: components that meet in a bucket form a field,
-   and the documents of a field outside its largest component are compared, on full sets, with all
-   documents of the field.  This goes block by block, with the counts of common shingles from one matrix
-   product, so that no pairs are listed; only links between different components come out.
+   the full sets, from the whole texts; shingles that agree by hash are compared byte by byte.
+5. What is undecided then is compared without exception.  In each bucket the documents outside its largest
+   component are estimated against all its documents, block by block; components with a likely pair form a
+   field (a block gives a spanning subset of them, never its pairs).  Inside a field the same blocks are
+   compared on full sets, as hashes, leaving out what the estimate rules out and what is connected by then;
+   at most one pair for each document and component comes out and is confirmed like any other.  Pairs of
+   blocks are dealt over the tasks one by one, so a large bucket or field isn't bound to one.
 6. Links become components by joins.
 
+Two documents whose sets have the same 128-bit digest count as equal (step 1); any other link is confirmed
+on the texts.
+
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with
 nothing; rows with null ids are returned with a null component and kept; rows that repeat an id are
 each returned; further columns are ignored; an empty table gives no rows.
@@ -28,7 +33,7 @@ each returned; further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import arrow_rows, bounded, materialize
-from .components import components
+from .common import Scratch, arrow_rows, bounded, materialize
+from .components import components, forest
 
 SHINGLE = 5
 ROWS, BANDS = 6, 48
@@ -45,8 +50,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 THRESHOLD, CUT = (80, 100), 0.66
 ROUNDS = 2
-#: Documents and shingles of a block, on average, in the last comparison.
-BLOCK_DOCS, BLOCK_SHINGLES, MATRIX = 256, 1 << 18, 1 << 13
+#: Documents and shingles of a block, on average, in the last comparison; pairs of a hub confirmed by one task.
+BLOCK_DOCS, BLOCK_SHINGLES, HUB_PAIRS = 256, 1 << 18, 256
 
 _XOR = kernel.constants(REGISTERS, 11).astype(np.uint32)
 _MUL = (kernel.constants(REGISTERS, 12) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -123,7 +128,11 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     return found
 
 
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, regs binary, keys array<long>"
+
+
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    @kernel.tidy
     def sign(batches):
         kernel.release()
         for batch in batches:
@@ -131,16 +140,15 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
             for a, b, data, offsets in kernel.text_slices(texts):
                 hashes, starts = shingle_hashes(data, offsets, shingle)
                 sets = [np.unique(hashes[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
-                n = np.array([len(s) for s in sets], np.int64)
-                low = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                high = np.array([kernel.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                digests = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 regs = registers(hashes, starts)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(band_keys(regs).ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n), pa.array(kernel.mix(low).view(np.int64)), pa.array(high.view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "regs"],
+                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary()), keys],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "regs", "keys"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, regs binary")
+    return docs.mapInArrow(sign, SKETCH)
 
 
 def _as_registers(column: pa.Array) -> np.ndarray:
@@ -148,21 +156,6 @@ def _as_registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint16, count=len(column) * REGISTERS, offset=int(offsets[0])).reshape(-1, REGISTERS)
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """``doc_id, key`` for each band of each set."""
-
-    def spread(batches):
-        kernel.release()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys = band_keys(_as_registers(part.column(1)))
-                ids = np.repeat(part.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel().view(np.int64))], names=["doc_id", "key"])
-
-    return members.select("doc_id", "regs").mapInArrow(spread, "doc_id long, key long")
-
-
 def _named_by(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of a table whose id is in a (written) table of pairs."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -176,6 +169,7 @@ def _estimated(pairs: DataFrame, members: DataFrame) -> DataFrame:
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
     sized = joined.where(F.least("n_a", "n_b") * THRESHOLD[1] >= F.greatest("n_a", "n_b") * THRESHOLD[0])
 
+    @kernel.tidy
     def estimate(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -187,27 +181,59 @@ def _estimated(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, "a long, b long, likely double")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Test pairs on their full sets: ``a, b, linked``."""
-    texts = _named_by(pairs, texts)
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
+class _Shingled:
+    """A text's set of shingles, where each first stands, and the bytes of its words."""
+
+    def __init__(self, text: pa.Scalar, shingle: int):
+        data = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
+        offsets = np.array([0, len(data)])
+        self.eights = kernel.lanes(data, kernel.SPACED)
+        self.starts, self.ends, _ = kernel.word_spans(data, offsets, kernel.SPACED)
+        self.set, self.at = np.unique(shingle_hashes(data, offsets, shingle)[0], return_index=True)
+        self.words = min(shingle, len(self.starts))
+
+    def common(self, other: "_Shingled") -> int:
+        """Shingles that both sets have, byte by byte."""
+        if self.words != other.words:
+            return 0
+        _, mine, its = np.intersect1d(self.set, other.set, assume_unique=True, return_indices=True)
+        step = np.arange(self.words)
+        i, j = ((x[:, None] + step).ravel() for x in (self.at[mine], other.at[its]))
+        same = kernel.equal_spans(self.eights, self.starts[i], self.ends[i], other.eights, other.starts[j], other.ends[j])
+        return int(same.reshape(-1, self.words).all(1).sum())
 
+
+def linked(one: _Shingled, two: _Shingled) -> bool:
+    """Whether two texts have the threshold's similarity, on full sets."""
+    sizes = len(one.set), len(two.set)
+    both = len(np.intersect1d(one.set, two.set, assume_unique=True))
+    return bool(_similar(both, *sizes) and _similar(one.common(two), *sizes))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Test (written) pairs on their full sets: ``a, b, linked``.
+
+    The other texts are dealt to parts of ``HUB_PAIRS`` pairs of one hub, and the hub's text to each part.
+    """
+    texts = _named_by(pairs, docs)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("parts"))
+    parted = pairs.join(bounded(parts, pairs.count()), "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(9)), F.col("parts")).alias("part"))
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a")
+    joined = parted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b").join(hubs, ["a", "part"])
+
+    @kernel.tidy
     def confirm(batches):
         kernel.release()
-        hubs: dict[int, np.ndarray] = {}
+        hub, held = None, None
         for batch in batches:
             ids, others, ta, tb = batch.columns
-            linked = np.zeros(batch.num_rows, dtype=bool)
+            found = np.zeros(batch.num_rows, dtype=bool)
             for i, (a, left, right) in enumerate(zip(ids.to_pylist(), ta, tb, strict=True)):
-                if a not in hubs:
-                    if len(hubs) >= 64 or sum(map(len, hubs.values())) > 1 << 21:
-                        hubs.clear()
-                    hubs[a] = _set(left, shingle)
-                one, two = hubs[a], _set(right, shingle)
-                linked[i] = _similar(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two))
-            yield pa.RecordBatch.from_arrays([ids, others, pa.array(linked)], names=["a", "b", "linked"])
-
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")  # dealt by b in the end: a hub's pairs spread out
+                if hub != a or held[0] != left:  # an id may have several texts
+                    hub, held = a, (left, _Shingled(left, shingle))
+                found[i] = linked(held[1], _Shingled(right, shingle))
+            yield pa.RecordBatch.from_arrays([ids, others, pa.array(found)], names=["a", "b", "linked"])
+
     return joined.select("a", "b", "t_a", "t_b").mapInArrow(confirm, "a long, b long, linked boolean")
 
 
@@ -215,11 +241,6 @@ def _similar(both, one, two):
     return (both > 0) & (THRESHOLD[1] * both >= THRESHOLD[0] * (one + two - both))
 
 
-def _set(text: pa.Scalar, shingle: int) -> np.ndarray:
-    data = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
-    return np.unique(shingle_hashes(data, np.array([0, len(data)]), shingle)[0])
-
-
 def _likeliest(pairs: DataFrame, n: int) -> DataFrame:
     """Of each b, the n pairs with most bands in common (ties: the smallest a)."""
     best = F.struct((-F.col("count")).alias("order"), F.col("a"))
@@ -229,113 +250,178 @@ def _likeliest(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.groupBy("b").agg(F.min(best).alias("x"), F.min(F.struct(F.xxhash64("a", "b"), F.col("a"))).alias("y")).select("b", F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a")).select("a", "b")
 
 
-def _tested(pairs: DataFrame, members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Estimated, and if likely enough confirmed: ``a, b, linked``."""
-    likely = materialize(_estimated(materialize(pairs, "pairs"), members).select("a", "b"), "likely")
-    confirmed = _confirmed(likely, docs, shingle)
-    with arrow_rows(docs.sparkSession, 500):  # a row holds two texts
-        return materialize(confirmed, "confirmed")
-
-
-def _undecided(crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Members of buckets that hold several components, with a hub that changes with the turn."""
-    labelled = crowded.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("turn"), "doc_id", "component"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("hub")).where("low <> high")
-    split = materialize(split.select("key", "low", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("hub_component")), "split")
-    return materialize(labelled.join(bounded(split, split.count()), "key"), "undecided")
-
-
-def _field_links(open_: DataFrame, labels: DataFrame, members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """All links between different components of a field that aren't made yet, as a spanning subset."""
-    meet = open_.where("component <> low").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct()
-    fields = components(meet).select(F.col("node").alias("component"), F.col("component").alias("field"))
-    there = open_.select("doc_id", "component").distinct().join(fields, "component")
-    sized = materialize(there.join(members.select("doc_id", "n_shingles"), "doc_id").groupBy("doc_id", "component", "field").agg(F.sum("n_shingles").alias("n_shingles")), "fields")
-    largest = sized.groupBy("field", "component").count().groupBy("field").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    sides = sized.join(largest, "field").withColumn("rest", F.col("component") != F.col("largest")).drop("largest")
-    count = sides.groupBy("field", "rest").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = sides.join(count, ["field", "rest"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")))
-    texts = docs.join(bounded(placed.select("doc_id").distinct(), sized.count()), "doc_id", "left_semi")
-    blocks = placed.join(texts, "doc_id").groupBy("field", "rest", "block").agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("rows"))
-    blocks = materialize(blocks, "blocks")
-    one = blocks.where("rest").select("field", F.col("block").alias("at"), F.col("rows").alias("one"))
-    pairs = one.join(blocks, "field").where("NOT rest OR block >= at")
-
-    def compare(batches):
-        kernel.release()
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                found = _block_links(left.values, right.values, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    return pairs.select("one", "rows").mapInArrow(compare, "a long, b long").distinct()
-
-
-def _block_links(left: pa.StructArray, right: pa.StructArray, shingle: int) -> np.ndarray:
-    """Links between different components of two blocks: at most one for each document and component."""
-    ids, comps, sets = zip(*[(x.field("doc_id").to_numpy(), x.field("component").to_numpy(), [_set(t, shingle) for t in x.field("text")]) for x in (left, right)], strict=True)
-    sizes = [np.array([len(s) for s in side]) for side in sets]
-    known = np.intersect1d(*(np.unique(np.concatenate(side)) for side in sets))
-    both = np.zeros((len(sets[0]), len(sets[1])), np.float32)
-    for at in range(0, len(known), MATRIX):
-        part = known[at : at + MATRIX]
-        has = [np.stack([_holds(s, part) for s in side]).astype(np.float32) for side in sets]
-        both += has[0] @ has[1].T
-    linked = _similar(both.astype(np.int64), sizes[0][:, None], sizes[1][None, :]) & (comps[0][:, None] != comps[1][None, :])
-    rows, cols = np.nonzero(linked)
-    if not len(rows):
-        return np.zeros((0, 2), np.int64)
-    _, first = np.unique(np.stack([rows, comps[1][cols]], 1), axis=0, return_index=True)
-    a, b = ids[0][rows[first]], ids[1][cols[first]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
-
-
-def _holds(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which of the wanted (sorted) are among the values (sorted)."""
-    if not len(values):
-        return np.zeros(len(wanted), dtype=bool)
-    return values[np.minimum(np.searchsorted(values, wanted), len(values) - 1)] == wanted
+class _Search:
+    """What the steps of one search share."""
+
+    def __init__(self, docs: DataFrame, shingle: int, scratch: Scratch):
+        self.docs, self.shingle, self.scratch = docs, shingle, scratch
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        found = _confirmed(pairs, self.docs, self.shingle)
+        with arrow_rows(self.docs.sparkSession, 200):  # a row holds two texts
+            return self.scratch.keep(found, "confirmed")
+
+    def tested(self, pairs: DataFrame) -> DataFrame:
+        """Estimated, and if likely enough confirmed: ``a, b, linked``."""
+        return self.confirmed(self.scratch.keep(_estimated(self.scratch.keep(pairs, "pairs"), self.members).select("a", "b"), "likely"))
+
+    def undecided(self, crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+        """Members of buckets that hold several components, with a hub that changes with the turn."""
+        labelled = crowded.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("turn"), "doc_id", "component"))
+        split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("hub")).where("low <> high")
+        split = self.scratch.keep(split.select("key", "low", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("hub_component")), "split")
+        return self.scratch.keep(labelled.join(bounded(split, split.count()), "key"), "undecided")
+
+    def blocks(self, rows: DataFrame, group: str, payload: list[str]) -> DataFrame:
+        """Pairs of blocks of each group, as lists ``one`` (outside the largest component) and ``two``.
+
+        ``rows`` has the group, ``doc_id, component, n_shingles`` and the payload; a block's pairs with
+        itself and with later blocks come out once.
+        """
+        narrow = self.scratch.keep(rows.select(group, "doc_id", "component", "n_shingles"), "sized")
+        counts = self.scratch.keep(narrow.groupBy(group, "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")), "counts")
+        largest = counts.groupBy(group).agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+        sides = counts.join(largest, group).groupBy(group, "largest").agg(*[
+            F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.when(own, F.col("n"))) / BLOCK_DOCS), F.ceil(F.sum(F.when(own, F.col("size"))) / BLOCK_SHINGLES)).alias(name)
+            for own, name in ((F.col("component") == F.col("largest"), "main"), (F.col("component") != F.col("largest"), "rest"))
+        ])
+        sides = self.scratch.keep(sides, "sides")
+        rest = F.col("component") != F.col("largest")
+        placed = rows.join(bounded(sides, sides.count()), group).select(group, "doc_id", "component", "n_shingles", *payload, "rest", "main", F.when(rest, F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("rest"))).otherwise(F.col("rest") + F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("main"))).alias("block"))
+        held = self.scratch.keep(placed.groupBy(group, "block", "rest", "main").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", *payload)).alias("rows")), "blocks")
+        until = F.col("rest") + F.col("main") - 1
+        one = held.where("block < rest").select(group, F.col("block").alias("i"), F.explode(F.sequence("block", until)).alias("j"), F.col("rows").alias("one"))
+        two = held.select(group, F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("block"), F.col("rest") - 1))).alias("i"), F.col("block").alias("j"), F.col("rows").alias("two"))
+        return one.join(two, [group, "i", "j"]).select("one", "two")
+
+    def fields(self, open_: DataFrame) -> DataFrame:
+        """``component, field``: components that a chain of likely pairs joins."""
+        sketched = open_.select("key", "doc_id", "component").join(self.members.select("doc_id", "n_shingles", "regs").dropDuplicates(["doc_id"]), "doc_id")
+
+        @kernel.tidy
+        def forest(batches):
+            for batch in batches:
+                for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                    a, b = _likely_forest(left.values, right.values)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        with arrow_rows(self.docs.sparkSession, 8):  # a row holds two blocks
+            edges = self.scratch.keep(self.blocks(sketched, "key", ["regs"]).mapInArrow(forest, "a long, b long"), "edges")
+        return components(edges, self.scratch).select(F.col("node").alias("component"), F.col("component").alias("field"))
+
+    def field_links(self, open_: DataFrame) -> DataFrame:
+        """All links between different components that aren't made yet, as a spanning subset: ``a, b, linked``."""
+        there = self.scratch.keep(open_.select("doc_id", "component").distinct().join(self.fields(open_), "component"), "there")
+        sketched = there.join(self.members.select("doc_id", "n_shingles", "regs").dropDuplicates(["doc_id"]), "doc_id")
+        wanted = self.docs.join(bounded(there.select("doc_id").distinct(), there.count()), "doc_id", "left_semi")
+        shingle = self.shingle
+
+        @kernel.tidy
+        def listed(batches):
+            for batch in batches:
+                for a, b, data, offsets in kernel.text_slices(batch.column(1)):
+                    hashes, starts = shingle_hashes(data, offsets, shingle)
+                    sets = [np.unique(hashes[i:j]).tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+
+        with arrow_rows(self.docs.sparkSession, 1000):
+            sets = self.scratch.keep(wanted.mapInArrow(listed, "doc_id long, set binary"), "sets")
+
+        @kernel.tidy
+        def compare(batches):
+            for batch in batches:
+                for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                    found = _block_links(left.values, right.values)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        with arrow_rows(self.docs.sparkSession, 4):
+            pairs = self.blocks(sketched.join(sets, "doc_id"), "field", ["regs", "set"])
+            found = self.scratch.keep(pairs.mapInArrow(compare, "a long, b long"), "links")
+        return self.confirmed(self.scratch.keep(found.distinct(), "links"))
+
+
+def _columns(rows: pa.StructArray, *names: str) -> list[np.ndarray]:
+    return [rows.field(n).to_numpy() for n in names]
+
+
+def _likely_rows(left: pa.StructArray, right: pa.StructArray):
+    """For each document on the left, its place and the places on the right that may be linked with it."""
+    (na, ca), (nb, cb) = (_columns(x, "n_shingles", "component") for x in (left, right))
+    ra, rb = (_as_registers(x.field("regs")) for x in (left, right))
+    for i in range(len(na)):
+        low, high = np.minimum(nb, na[i]), np.maximum(nb, na[i])
+        at = np.flatnonzero((ca[i] != cb) & (low * THRESHOLD[1] >= high * THRESHOLD[0]))
+        if len(at):
+            own = np.broadcast_to(ra[i], (len(at), REGISTERS))
+            at = at[likely_jaccard(own, rb[at], np.full(len(at), float(na[i])), nb[at].astype(float)) >= CUT]
+        if len(at):
+            yield i, at
+
+
+def _likely_forest(left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Components with a likely pair in two blocks, as few pairs of them as connect the same ones."""
+    (ca,), (cb,) = (_columns(x, "component") for x in (left, right))
+    edges = [np.stack([np.full(len(at), ca[i]), cb[at]]) for i, at in _likely_rows(left, right)]
+    return forest(*np.concatenate(edges, axis=1)) if edges else (np.zeros(0, np.int64),) * 2
+
+
+def _block_links(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
+    """Pairs between different components of two blocks that are linked by hash: at most one for each document and component."""
+    (ia, ca), (ib, cb) = (_columns(x, "doc_id", "component") for x in (left, right))
+    sa, sb = ([np.frombuffer(s.as_buffer(), np.uint64) for s in x.field("set")] for x in (left, right))
+    found = []
+    for i, at in _likely_rows(left, right):
+        met = set()
+        for j in at.tolist():
+            if cb[j] not in met and _similar(len(np.intersect1d(sa[i], sb[j], assume_unique=True)), len(sa[i]), len(sb[j])):
+                met.add(cb[j])
+                found.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession)
+    search = _Search(docs, shingle, scratch)
     signing = _signatures(docs, shingle)
     with arrow_rows(docs.sparkSession, 2000):
-        signed = materialize(signing, "sketches")
-    known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+        sketches = scratch.keep(signing, "sketches")
+    signed = scratch.keep(sketches.select("doc_id", "n_shingles", "set_a", "set_b"), "signed")
+    known = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = scratch.keep(signed.where(known).groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
     # An id that several texts share names them all: links to one of them are links to that id.
-    members = known.select("doc_id", "n_shingles", "regs").join(bounded(reps, reps.count()), "doc_id", "left_semi")
-    buckets = _buckets(members)
-    shared = materialize(buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").select("key", "hub"), "shared")
-    crowded = materialize(buckets.join(bounded(shared, shared.count()), "key"), "buckets")
+    search.members = scratch.keep(sketches.where(known).join(bounded(reps, reps.count()), "doc_id", "left_semi"), "members")
+    scratch.drop(sketches)
+    buckets = search.members.select("doc_id", F.explode("keys").alias("key"))
+    shared = scratch.keep(buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").select("key", "hub"), "shared")
+    crowded = scratch.keep(buckets.join(bounded(shared, shared.count()), "key"), "buckets")
     first = crowded.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).count()
-    tested = _tested(_likeliest(first, 1), members, docs, shingle)
+    tested = search.tested(_likeliest(first, 1))
     links = tested.where("linked").select("a", "b")
-    labels = components(links)
+    labels = components(links, scratch)
     for turn in range(ROUNDS + 1):
-        open_ = _undecided(crowded, labels, turn)
+        open_ = search.undecided(crowded, labels, turn)
         if not open_.limit(1).count():
             break
         if turn == ROUNDS:
-            compared = _field_links(open_, labels, members, docs, shingle)
-            with arrow_rows(docs.sparkSession, 4):  # a row holds two blocks of texts
-                more = materialize(compared, "links")
+            more = search.field_links(open_).where("linked").select("a", "b")
         else:
             pairs = open_.where("component <> hub_component").groupBy(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).count()
-            fresh = _tested(_likeliest(pairs.join(tested, ["a", "b"], "left_anti"), 2), members, docs, shingle)
+            fresh = search.tested(_likeliest(pairs.join(tested, ["a", "b"], "left_anti"), 2))
             tested = tested.unionByName(fresh)
             more = fresh.where("linked").select("a", "b")
         if more.limit(1).count():
             links = links.unionByName(more)
-            labels = components(links)
+            labels = components(links, scratch)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    scratch.drop_all(signed, classes, labels)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

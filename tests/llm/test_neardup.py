@@ -59,15 +59,6 @@ def test_matches_brute_force(spark):
     assert run(spark, docs, 4) == brute(docs, 4)
 
 
-def test_last_comparison_alone_finds_all_links(spark, monkeypatch):
-    docs = corpus(40, 9)
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
-    monkeypatch.setattr(neardup, "BLOCK_DOCS", 7)
-    monkeypatch.setattr(neardup, "MATRIX", 64)
-    monkeypatch.setattr(neardup, "CUT", 2.0)  # nothing is linked before
-    assert run(spark, docs, 4) == brute(docs, 4)
-
-
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(empty).count() == 0
@@ -92,3 +83,21 @@ def test_registers_merge_and_estimate():
 def test_short_texts_have_one_shingle():
     data, offsets = kernel.string_buffers(pa.array(["", "a", "a b", "a b c d e", "b"]))
     assert np.diff(neardup.shingle_hashes(data, offsets, 4)[1]).tolist() == [0, 1, 1, 2, 1]
+
+
+def test_words_alike_by_hash_are_not_linked(spark, monkeypatch):
+    from .test_kernel import twins
+
+    assert run(spark, list(enumerate(twins())), 4) == {0: (1, 0, True), 1: (1, 1, True)}
+    monkeypatch.setattr(kernel, "span_hashes", lambda data, starts, ends, *_: np.full(len(starts), 7, np.uint64))
+    one, two = (neardup._Shingled(pa.scalar(x), 4) for x in ("a b c d e", "a b c d f"))
+    assert len(one.set) == len(two.set) == 1 and not one.common(neardup._Shingled(pa.scalar("w x y z"), 4))
+    assert neardup.linked(one, neardup._Shingled(pa.scalar("A b  c d"), 4))
+
+
+def test_undecided_buckets_of_many_blocks(spark, monkeypatch):
+    docs = corpus(4, 12)[:70]
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 12)
+    monkeypatch.setattr(neardup, "_likeliest", lambda pairs, n: pairs.select("a", "b").where("a < 0"))  # no pair is tested before
+    assert run(spark, docs, 4) == brute(docs, 4)
