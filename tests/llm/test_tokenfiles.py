@@ -20,7 +20,6 @@ def plain(texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     return [x.ids + [0] for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -36,6 +35,24 @@ def test_pieces_encode_like_whole_texts():
         assert ids.tolist() == sum(plain(texts), [])
 
 
+def test_pieces_alike_by_hash(monkeypatch):
+    import pyarrow as pa
+
+    from .test_kernel import twins
+
+    texts = [*twins(), "abc def", "abd def", "x <|endoftext|> y", "<|endoftext|", "ab<|endoftext|>ab", ""]
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(kernel, "span_hashes", lambda data, starts, ends, *_: np.full(len(starts), 9, np.uint64))
+        coder = tokenfiles.Encoder(PATH)
+        for _ in range(2):
+            ids, _ = tokenfiles.with_ends(*coder.encode(*kernel.string_buffers(pa.array(texts))))
+            assert ids.tolist() == sum(plain(texts), [])
+    assert 50256 in ids.tolist()
+    text_only = tokenfiles.Encoder(PATH, special=False)
+    assert 50256 not in text_only.encode(*kernel.string_buffers(pa.array(texts)))[0].tolist()
+
+
 def test_coding_round_trip():
     rng = np.random.default_rng(0)
     counts = np.array([0, 1, 2, 3, 4, 5, 0, 1000])
@@ -65,3 +82,13 @@ def test_empty_table_and_null_ids(spark):
     assert tokenfiles.token_files(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     odd = spark.createDataFrame([(None, "b"), (4, "a"), (4, "a")], "doc_id long, text string")
     assert sorted((r.start, r.doc_id) for r in tokenfiles.token_files(odd, PATH).collect()) == [(0, None), (2, 4), (4, 4)]
+
+
+def test_rows_of_one_id_fill_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(tokenfiles, "BLOCK_TOKENS", 50)
+    same = spark.createDataFrame([(None if i % 2 else 8, f"text number {i} of one id") for i in range(300)], "doc_id long, text string").repartition(3)
+    got = sorted(tokenfiles.token_files(same, PATH).collect(), key=lambda r: r.start)
+    assert len({r.shard for r in got}) > 2 and len({(r.shard, r.block) for r in got}) > 20
+    assert [r.doc_id for r in got] == [None] * 150 + [8] * 150
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
