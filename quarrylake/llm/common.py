@@ -50,10 +50,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def keep(self, df: DataFrame, what: str) -> DataFrame:
-        """Like :func:`materialize`."""
+    def keep(self, df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+        """Like :func:`materialize`, in one folder for each value of a column if asked."""
         path = fresh_path(self.spark, what)
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)  # the table is held, so its id stays its own
         return out
