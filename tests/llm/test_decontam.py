@@ -56,8 +56,43 @@ def test_broadcast_index_matches_brute_force(spark):
     check(spark, 1_000_000)
 
 
-def test_shuffled_join_matches_brute_force(spark):
-    check(spark, 40)
+def test_many_blocks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 6)
+    check(spark, 90)
+
+
+def test_rows_are_dropped_one_by_one(spark, monkeypatch):
+    bench = spark.createDataFrame([(None, "a b c d e f g h i j k l"), (2, "seven words are too few for it")] + [(3 + i, f"only{i} three words") for i in range(30)], "item_id long, text string")
+    dirty, short = "x a b c d e f g h i j k l y", "so seven words are too few for it then"
+    rows = [(7, "clean as can be", 1), (7, dirty, 2), (None, dirty, 3), (None, "clean", 4), (8, short, 5), (8, None, 6), (9, "say only17 THREE words", 7), (9, "x " * 20_000 + dirty, 8), (7, "clean as can be", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    for size in (1_000_000, 20):
+        kept = decontam.drop_contaminated(docs, bench, index_words=size)
+        assert kept.columns == docs.columns
+        assert sorted(r.row for r in kept.collect()) == [1, 1, 4, 6]
+        found = {(r.doc_id, r.n_words): (r.n_hit, r.n_items) for r in decontam.contamination(docs, bench, index_words=size).collect()}
+        assert found[7, 14] == (12, 1) and found[9, 4] == (3, 1) and found[9, 20_014] == (12, 1) and found[None, 1] == (0, 0)
+
+
+def test_words_alike_by_hash_are_no_hit(spark):
+    from .test_kernel import twins
+
+    one, two = twins()
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.contamination(docs, bench).collect()} == {1: 1, 2: 0}
+
+
+def test_windows_alike_by_hash_are_no_hit(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrylake.llm import kernel
+
+    monkeypatch.setattr(kernel, "span_hashes", lambda data, starts, ends, *_: np.full(len(starts), 5, np.uint64))
+    index = decontam.Index([("1", "a b c"), ("2", " ".join("abcdefghijkl"))])
+    hits = lambda text: index.hits(*kernel.string_buffers(pa.array([text])))[1].sum()
+    assert hits("x y z a b c") == 3 and hits(" ".join("zyxwvutsrqponm")) == 0 and hits(" ".join("zabcdefghijklz")) == 12
 
 
 def test_empty_tables(spark):
