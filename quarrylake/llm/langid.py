@@ -7,9 +7,10 @@ the smallest total wins.  Blocks keep the dictionaries at work all through a lon
 share of the winner when every byte saved halves the odds of the others; where the runner-up is closer
 than ``MARGIN`` of the smallest total, or by less than ``MARGIN_BYTES``, the decision is marked rejected.
 
-Learning reads at most ``DICTIONARY`` bytes of whole sample texts a language, and at most ``LANGUAGES``
-languages (the most frequent): bounds of the dictionaries on driver and workers.  Which rows may be
-learned from is up to the caller.
+Every language present is learned, from pieces of at most ``PIECE`` characters of its texts (one of each
+different text, from a place that its hash names), until its dictionary is full or its texts are all used.
+Dictionaries have ``DICTIONARY`` bytes, or less where so many languages would go over ``BUDGET`` together:
+the bound on driver and workers.  Which rows may be learned from is up to the caller.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; with no
 language learned every text is; ties go to the language with most rows to learn from, then to the first by code point; rows are judged one by one,
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import kernel
 
-#: Bytes of sample text to a language, languages, bytes of a block.
-DICTIONARY, LANGUAGES, BLOCK = 96 << 10, 64, 4096
+#: Bytes of a dictionary and of all, characters of a sample, bytes of a block.
+DICTIONARY, BUDGET, PIECE, BLOCK = 96 << 10, 6 << 20, 4096, 4096
 LEVEL = 9
 MARGIN, MARGIN_BYTES = 0.002, 1
 UNKNOWN = "und"
@@ -47,20 +48,24 @@ SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean, margin
 def learn(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary: int = DICTIONARY) -> dict[str, bytes]:
     """Dictionary of each language, most frequent first, from a bounded sample of the given rows."""
     rows = samples.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return {}
-    # Rows by hash so that about three dictionaries' worth of each language is looked at.
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, float(min(1.0, 3.0 * dictionary / r.bytes)))]), F.col("lang"))
-    turn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = rows.where(F.col("lang").isin([r.lang for r in sizes])).where((turn < share) & (F.octet_length("text") <= dictionary))
-    # Of those, per language the first by hash until the bytes are full; a language's sample is small by then.
+    sizes = rows.groupBy("lang").agg(F.sum(F.least(F.octet_length("text"), F.lit(PIECE))).alias("bytes"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    dictionary = min(dictionary, max(1 << 10, BUDGET // max(1, len(sizes))))
     found: dict[str, bytearray] = {r.lang: bytearray() for r in sizes}
-    picked = wanted.select("lang", "text", turn.alias("turn")).distinct().orderBy("turn", "lang", "text")
-    for row in picked.toLocalIterator():
-        own = found[row.lang]
-        if len(own) < dictionary:
-            own += folded(row.text) + b" "
+    # Texts by hash, so that about three dictionaries' worth is looked at; more where copies leave less than one.
+    share = {r.lang: min(1.0, 3.0 * dictionary / r.bytes) for r in sizes}
+    turn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - PIECE + 1)).cast("int") + 1
+    while share:
+        shares = rows.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
+        wanted = rows.join(F.broadcast(shares), "lang").where(turn < F.col("share"))
+        picked = wanted.select("lang", F.substring("text", place, F.lit(PIECE)).alias("piece"), turn.alias("turn")).distinct().orderBy("turn", "lang", "piece")
+        for lang in share:
+            found[lang] = bytearray()
+        for row in picked.toLocalIterator():
+            own = found[row.lang]
+            if len(own) < dictionary:
+                own += folded(row.piece) + b" "
+        share = {k: min(1.0, 8 * v) for k, v in share.items() if v < 1 and len(found[k]) < dictionary}
     return {lang: bytes(text[:dictionary]) for lang, text in found.items() if text}
 
 
@@ -97,8 +102,9 @@ class Classifier:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, lang_pred, score, rejected, margin``."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGUAGES * DICTIONARY bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # BUDGET bytes at most, or 1 KB a language
 
+    @kernel.tidy
     def classify(batches):
         classifier = _classifier(shared.value)
         for batch in batches:
@@ -127,6 +133,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dictionaries = learn(docs, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
+    @kernel.tidy
     def keep(batches):
         classifier = _classifier(shared.value)
         at = None
