@@ -51,8 +51,10 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _ONE_CLASS = re.compile(r"[a-z+/_-]+|[A-Z+/_-]+|[0-9+/_-]+")
 _NAME = re.compile(r"""[A-Za-z+/_-]+["']?[\x20\t]*[:=][\x20\t]*["']?[^\s"'=]""")  # a digitless run with a value after it
 _LEAST_BITS = 3.0
-_WEAK_ID = re.compile(r"""(?:user(?:name)?|login|client_?id|account|key_?id)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@-]{3,64})""", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,2048}|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,12}:\d{2,5}\b")
+_WEAK_ID = re.compile(r"""(?:user(?:name)?|login|client_?id|account|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
+_URL = re.compile(r"https?://[^\s\"'<>]{4,}")
+_HOST_PORT = re.compile(r"(?<![a-z0-9.-])([a-z0-9.-]++):\d{2,5}\b")
+_TOP = re.compile(r"[a-z]{2,}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -77,11 +79,26 @@ def _weak_spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]
     if "=" in text or ":" in text:
         ids += [m.span() for m in _WEAK_ID.finditer(text)]
     if ":" in text:
-        ends = [m.span() for m in _ENDPOINT.finditer(text)]
+        ends = [m.span() for m in _URL.finditer(text)]
+        held = np.array(ends, np.int64).reshape(-1, 2)
+        hosts = [x for m in _HOST_PORT.finditer(text) if (x := _host(text, m))]
+        ends += [x for x, inside in zip(hosts, _overlaps(np.array(hosts, np.int64).reshape(-1, 2), held), strict=True) if not inside]
     secrets = [m.span() for m in _RUN.finditer(text) if (not _ONE_CLASS.fullmatch(m[0]) or _bits(m[0]) >= _LEAST_BITS) and not _NAME.match(text, m.start())]
     return ids, secrets, ends
 
 
+def _host(text: str, m: re.Match) -> tuple[int, int] | None:
+    """The span of a host of two names or more and its port; names run up to an empty one or a letter that is none of theirs."""
+    labels = m[1].split(".")
+    if not _TOP.fullmatch(labels[-1]):
+        return None
+    own = labels[len(labels) - next((k for k, x in enumerate(reversed(labels)) if not x), len(labels)) :]
+    if len(own) == len(labels) and m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+        own = own[1:]
+    name = ".".join(own).lstrip("-")
+    return (m.end(1) - len(name), m.end()) if name.count(".") else None
+
+
 def _overlaps(spans: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Which spans overlap any of the others: as many have begun by the end as have ended by the start, or not."""
     if not len(spans) or not len(others):
