@@ -49,7 +49,8 @@ ROWS, BANDS = 6, 48
 REGISTERS = ROWS * BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 THRESHOLD, CUT = (80, 100), 0.66
-ROUNDS = 2
+#: Further rounds of hubs, and members of open buckets that are compared at once without them.
+ROUNDS, FEW_OPEN = 2, 20_000
 #: Documents and shingles of a block, on average, in the last comparison; pairs of a hub confirmed by one task.
 BLOCK_DOCS, BLOCK_SHINGLES, HUB_PAIRS = 256, 1 << 18, 256
 
@@ -59,7 +60,11 @@ _MUL = (kernel.constants(REGISTERS, 12) >> np.uint64(32)).astype(np.uint32) | np
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each text (with repeats), and for each text the index of its first."""
-    words, first = kernel.hashed_words(data, offsets, kernel.SPACED)
+    return word_shingles(*kernel.hashed_words(data, offsets, kernel.SPACED), size)
+
+
+def word_shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the words' hashes."""
     n = np.diff(first)
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     starts = np.concatenate([[0], np.cumsum(count)])
@@ -128,6 +133,18 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     return found
 
 
+def reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float = CUT) -> np.ndarray:
+    """Whether the joint maximum-likelihood similarity is ``least`` or more: the likelihood, which has one peak, still rises there."""
+    above, below = (a > b).sum(1), (a < b).sum(1)
+    equal = a.shape[1] - above - below
+    u, v = na / (na + nb), nb / (na + nb)
+    like = []
+    for j in (least, np.minimum(least + 0.01, np.minimum(u / v, v / u))):
+        more, less = (-np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE) for x in (u - v * j, v - u * j))
+        like.append(above * np.log(np.maximum(more, 1e-12)) + below * np.log(np.maximum(less, 1e-12)) + equal * np.log(np.maximum(1 - more - less, 1e-12)))
+    return (like[1] >= like[0]) & (np.minimum(u / v, v / u) >= least)
+
+
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, regs binary, keys array<long>"
 
 
@@ -163,7 +180,7 @@ def _named_by(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs whose sizes and registers allow the threshold: ``a, b, likely``."""
+    """Pairs whose sizes and registers allow the threshold: ``a, b``."""
     members = _named_by(pairs, members)
     side = lambda x: members.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
@@ -174,11 +191,10 @@ def _estimated(pairs: DataFrame, members: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 a, b, na, nb, ra, rb = batch.slice(at, 2000).columns
-                likely = likely_jaccard(_as_registers(ra), _as_registers(rb), na.to_numpy().astype(float), nb.to_numpy().astype(float))
-                keep = pa.array(likely >= CUT)
-                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(likely).filter(keep)], names=["a", "b", "likely"])
+                keep = pa.array(reaches(_as_registers(ra), _as_registers(rb), na.to_numpy(), nb.to_numpy()))
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, "a long, b long, likely double")
+    return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, "a long, b long")
 
 
 class _Shingled:
@@ -186,19 +202,25 @@ class _Shingled:
 
     def __init__(self, text: pa.Scalar, shingle: int):
         data = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
-        offsets = np.array([0, len(data)])
         self.eights = kernel.lanes(data, kernel.SPACED)
-        self.starts, self.ends, _ = kernel.word_spans(data, offsets, kernel.SPACED)
-        self.set, self.at = np.unique(shingle_hashes(data, offsets, shingle)[0], return_index=True)
+        self.starts, self.ends, first = kernel.word_spans(data, np.array([0, len(data)]), kernel.SPACED)
+        words = kernel.span_hashes(data, self.starts, self.ends, kernel.SPACED, self.eights)
+        self.hashes = word_shingles(words, first, shingle)[0]
+        self.set = np.unique(self.hashes)
         self.words = min(shingle, len(self.starts))
 
+    def first_of(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each of some shingles first stands."""
+        order = np.argsort(self.hashes, kind="stable")
+        return order[np.searchsorted(self.hashes, wanted, sorter=order)]
+
     def common(self, other: "_Shingled") -> int:
         """Shingles that both sets have, byte by byte."""
         if self.words != other.words:
             return 0
-        _, mine, its = np.intersect1d(self.set, other.set, assume_unique=True, return_indices=True)
+        both = np.intersect1d(self.set, other.set, assume_unique=True)
         step = np.arange(self.words)
-        i, j = ((x[:, None] + step).ravel() for x in (self.at[mine], other.at[its]))
+        i, j = ((x.first_of(both)[:, None] + step).ravel() for x in (self, other))
         same = kernel.equal_spans(self.eights, self.starts[i], self.ends[i], other.eights, other.starts[j], other.ends[j])
         return int(same.reshape(-1, self.words).all(1).sum())
 
@@ -254,7 +276,7 @@ class _Search:
     """What the steps of one search share."""
 
     def __init__(self, docs: DataFrame, shingle: int, scratch: Scratch):
-        self.docs, self.shingle, self.scratch = docs, shingle, scratch
+        self.docs, self.shingle, self.scratch, self.members = docs, shingle, scratch, None
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         found = _confirmed(pairs, self.docs, self.shingle)
@@ -263,7 +285,7 @@ class _Search:
 
     def tested(self, pairs: DataFrame) -> DataFrame:
         """Estimated, and if likely enough confirmed: ``a, b, linked``."""
-        return self.confirmed(self.scratch.keep(_estimated(self.scratch.keep(pairs, "pairs"), self.members).select("a", "b"), "likely"))
+        return self.confirmed(self.scratch.keep(_estimated(self.scratch.keep(pairs, "pairs"), self.members), "likely"))
 
     def undecided(self, crowded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
         """Members of buckets that hold several components, with a hub that changes with the turn."""
@@ -279,8 +301,8 @@ class _Search:
         ``rows`` has the group, ``doc_id, component, n_shingles`` and the payload; a block's pairs with
         itself and with later blocks come out once.
         """
-        narrow = self.scratch.keep(rows.select(group, "doc_id", "component", "n_shingles"), "sized")
-        counts = self.scratch.keep(narrow.groupBy(group, "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")), "counts")
+        rows = self.scratch.keep(rows, "open")
+        counts = rows.groupBy(group, "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
         largest = counts.groupBy(group).agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
         sides = counts.join(largest, group).groupBy(group, "largest").agg(*[
             F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.when(own, F.col("n"))) / BLOCK_DOCS), F.ceil(F.sum(F.when(own, F.col("size"))) / BLOCK_SHINGLES)).alias(name)
@@ -337,46 +359,41 @@ class _Search:
 
         with arrow_rows(self.docs.sparkSession, 4):
             pairs = self.blocks(sketched.join(sets, "doc_id"), "field", ["regs", "set"])
-            found = self.scratch.keep(pairs.mapInArrow(compare, "a long, b long"), "links")
-        return self.confirmed(self.scratch.keep(found.distinct(), "links"))
+            found = self.scratch.keep(pairs.mapInArrow(compare, "a long, b long").distinct(), "links")
+        return self.confirmed(found)
 
 
 def _columns(rows: pa.StructArray, *names: str) -> list[np.ndarray]:
     return [rows.field(n).to_numpy() for n in names]
 
 
-def _likely_rows(left: pa.StructArray, right: pa.StructArray):
-    """For each document on the left, its place and the places on the right that may be linked with it."""
+def _likely_places(left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of documents on the left and on the right, of different components, that may be linked."""
     (na, ca), (nb, cb) = (_columns(x, "n_shingles", "component") for x in (left, right))
     ra, rb = (_as_registers(x.field("regs")) for x in (left, right))
-    for i in range(len(na)):
-        low, high = np.minimum(nb, na[i]), np.maximum(nb, na[i])
-        at = np.flatnonzero((ca[i] != cb) & (low * THRESHOLD[1] >= high * THRESHOLD[0]))
-        if len(at):
-            own = np.broadcast_to(ra[i], (len(at), REGISTERS))
-            at = at[likely_jaccard(own, rb[at], np.full(len(at), float(na[i])), nb[at].astype(float)) >= CUT]
-        if len(at):
-            yield i, at
+    low, high = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
+    i, j = np.nonzero((ca[:, None] != cb[None, :]) & (low * THRESHOLD[1] >= high * THRESHOLD[0]))
+    keep = [reaches(ra[i[a : a + 4096]], rb[j[a : a + 4096]], na[i[a : a + 4096]], nb[j[a : a + 4096]]) for a in range(0, len(i), 4096)]
+    keep = np.concatenate([np.zeros(0, dtype=bool), *keep])
+    return i[keep], j[keep]
 
 
 def _likely_forest(left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """Components with a likely pair in two blocks, as few pairs of them as connect the same ones."""
+    i, j = _likely_places(left, right)
     (ca,), (cb,) = (_columns(x, "component") for x in (left, right))
-    edges = [np.stack([np.full(len(at), ca[i]), cb[at]]) for i, at in _likely_rows(left, right)]
-    return forest(*np.concatenate(edges, axis=1)) if edges else (np.zeros(0, np.int64),) * 2
+    return forest(ca[i], cb[j])
 
 
 def _block_links(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
     """Pairs between different components of two blocks that are linked by hash: at most one for each document and component."""
-    (ia, ca), (ib, cb) = (_columns(x, "doc_id", "component") for x in (left, right))
+    (ia,), (ib, cb) = _columns(left, "doc_id"), _columns(right, "doc_id", "component")
     sa, sb = ([np.frombuffer(s.as_buffer(), np.uint64) for s in x.field("set")] for x in (left, right))
-    found = []
-    for i, at in _likely_rows(left, right):
-        met = set()
-        for j in at.tolist():
-            if cb[j] not in met and _similar(len(np.intersect1d(sa[i], sb[j], assume_unique=True)), len(sa[i]), len(sb[j])):
-                met.add(cb[j])
-                found.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
+    found, met = [], set()
+    for i, j in zip(*(x.tolist() for x in _likely_places(left, right)), strict=True):
+        if (i, cb[j]) not in met and _similar(len(np.intersect1d(sa[i], sb[j], assume_unique=True)), len(sa[i]), len(sb[j])):
+            met.add((i, cb[j]))
+            found.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
     return np.array(found, np.int64).reshape(-1, 2)
 
 
@@ -404,9 +421,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links, scratch)
     for turn in range(ROUNDS + 1):
         open_ = search.undecided(crowded, labels, turn)
-        if not open_.limit(1).count():
+        n_open = open_.count()
+        if not n_open:
             break
-        if turn == ROUNDS:
+        if turn == ROUNDS or n_open <= FEW_OPEN:
             more = search.field_links(open_).where("linked").select("a", "b")
         else:
             pairs = open_.where("component <> hub_component").groupBy(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).count()
@@ -416,6 +434,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = components(links, scratch)
+        if n_open <= FEW_OPEN:
+            break
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -77,7 +77,10 @@ def test_registers_merge_and_estimate():
         a, b = kernel.mix(pool[:n]), kernel.mix(np.concatenate([pool[:both], pool[n : 2 * n - both]]))
         ra, rb, rab = (neardup.registers(x, np.array([0, len(x)])) for x in (a, b, np.concatenate([a, b])))
         assert (neardup.merge(ra, rb) == rab).all()
-        assert abs(neardup.likely_jaccard(ra, rb, np.array([n]), np.array([n]))[0] - share) < 0.1
+        likely = neardup.likely_jaccard(ra, rb, np.array([n]), np.array([n]))[0]
+        assert abs(likely - share) < 0.1
+        for least in (likely - 0.03, likely + 0.03):
+            assert neardup.reaches(ra, rb, np.array([n]), np.array([n]), least)[0] == (least < likely)
 
 
 def test_short_texts_have_one_shingle():
