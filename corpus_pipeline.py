@@ -8,6 +8,7 @@ of ``documents``; the last returns one row per written document, as read from th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylake.llm import decontam, langid, mixing, neardup, queries, tokenfiles
 from quarrylake.llm.common import materialize, read_table
@@ -29,13 +30,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it (up to three times, or not at all)."""
-    return mixing.repeat_by_mix(docs)
+    """The mix of sources: the parts of documents in the order of their slots (a document up to three times, or not at all)."""
+    return mixing.mixed_texts(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back."""
-    found = tokenfiles.token_files(docs, queries.tokenizer_path())
+    """Token files of the mix, read back: in the order of the rows in the files, or else of their ids."""
+    found = tokenfiles.token_files(docs, queries.tokenizer_path(), order=tokenfiles.file_order(docs))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
