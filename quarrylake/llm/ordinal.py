@@ -9,8 +9,10 @@ Features of a text are, for each word (run of anything but white space): the fol
 bytes, its shape (length, first and last byte's class), and whether it repeats the word before.  Each kind has
 its own buckets; ``x`` is the share of the words in a bucket, so long and short texts compare.
 
-Learning reads at most ``DOCS`` rated documents of each grade, picked by hash.  It reads their whole texts, as
-scoring does: executors count the features, and the driver gets, of each document, its buckets and their counts.
+Learning reads at most ``DOCS`` rated documents of each grade, picked by hash, and gives every grade the same
+weight, however rare.  It reads their whole texts, as scoring does: executors count the features, and the driver
+gets, of each document, its buckets and their counts.  Grades are any whole numbers from 0 on; those that are
+rated are the model's levels.
 
 Defined cases: null and empty texts have no features and get the grade of the thresholds alone; null ratings
 are not learned from; with fewer than two grades every document has the one known grade (or 0);
@@ -30,7 +32,7 @@ from . import kernel
 
 BUCKETS, KINDS = 1 << 15, 4
 DOCS = 3000
-EPOCHS, BATCH, RATE, DECAY, SCALE = 20, 64, 0.05, 1e-4, 4.0
+EPOCHS, BATCH, RATE, DECAY, SCALE = 20, 64, 0.2, 1e-4, 4.0
 SAMPLE = "doc_id string, grade int, turn long, n_words long, used binary, times binary"
 SCHEMA = "doc_id long, expected_grade double, tail_prob double, grade int"
 _CLASS = np.zeros(256, np.uint64)
@@ -63,10 +65,11 @@ def means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, grades: int):
+    def __init__(self, levels: list[int]):
         self.weights = np.zeros(BUCKETS * KINDS)
-        self.low, self.gaps = 0.0, np.zeros(max(0, grades - 2))
-        self.grades = grades
+        self.levels = np.array(levels, np.int64)
+        self.grades = len(levels)
+        self.low, self.gaps = 0.0, np.zeros(max(0, self.grades - 2))
 
     @property
     def thresholds(self) -> np.ndarray:
@@ -76,6 +79,16 @@ class Model:
         """P(grade > k) for k below the top (texts by thresholds)."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scale[:, None], -60, 60)))
 
+    def reach(self, beyond: np.ndarray, grade: int | None) -> np.ndarray:
+        """P(at least this grade), the top one if none is given."""
+        k = self.grades - 1 if grade is None else int(np.searchsorted(self.levels, grade))
+        if 0 < k < self.grades:
+            return beyond[:, k - 1]
+        return np.full(len(beyond), float(k == 0))
+
+    def expected(self, beyond: np.ndarray) -> np.ndarray:
+        return self.levels[0] + beyond @ np.diff(self.levels)
+
     def scale(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         buckets, first = features(data, offsets)
         return SCALE * means(self.weights[buckets].sum(1), first)
@@ -91,13 +104,15 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(np.diff(first).astype(np.int64)), used, times], names=["doc_id", "grade", "turn", "n_words", "used", "times"])
 
 
-def train(sizes: np.ndarray, used: list[bytes], times: list[bytes], grades: np.ndarray, seed: int = 3) -> Model:
-    """Fit weights and thresholds (Adagrad on the log-likelihood, with weight decay)."""
-    top = int(grades.max()) + 1 if len(grades) else 1
-    model = Model(top)
+def train(sizes: np.ndarray, used: list[bytes], times: list[bytes], rated: np.ndarray, seed: int = 3) -> Model:
+    """Fit weights and thresholds (Adagrad on the log-likelihood with all grades in balance, with weight decay)."""
+    levels, grades, found = np.unique(rated, return_inverse=True, return_counts=True)
+    top = len(levels)
+    model = Model(levels.tolist() or [0])
     if top < 2:
         return model
-    share = np.bincount(grades, minlength=top)[::-1].cumsum()[::-1][1:] / len(grades)
+    balance = len(grades) / (top * found)
+    share = np.arange(top - 1, 0, -1) / top
     cut = np.maximum.accumulate(-np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3))) + np.arange(top - 1) * 1e-3)
     model.low, model.gaps = float(cut[0]), np.log(np.maximum(np.diff(cut), 1e-3))
     seen, seen_cut = np.full(len(model.weights), 1e-6), np.full(top - 1, 1e-6)
@@ -116,7 +131,7 @@ def train(sizes: np.ndarray, used: list[bytes], times: list[bytes], grades: np.n
             lower = np.where(y > 0, t[np.maximum(y - 1, 0)] - x, -60.0)
             f, g = (1 / (1 + np.exp(-np.clip(v, -60, 60))) for v in (upper, lower))
             p = np.maximum(f - g, 1e-9)
-            du, dl = f * (1 - f) / p, -g * (1 - g) / p
+            du, dl = balance[y] * f * (1 - f) / p, -balance[y] * g * (1 - g) / p
             dt = np.zeros(top - 1)
             np.add.at(dt, y[y < top - 1], du[y < top - 1])
             np.add.at(dt, y[y > 0] - 1, dl[y > 0])
@@ -135,33 +150,35 @@ def train(sizes: np.ndarray, used: list[bytes], times: list[bytes], grades: np.n
 
 
 def learn(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:
-    """A model from a bounded sample of rated documents; grades are 0, 1, 2, ..."""
+    """A model from a bounded sample of rated documents."""
     known = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).where("grade >= 0 AND doc_id IS NOT NULL")
-    top = known.agg(F.max("grade")).first()[0]
-    if top is None:
-        return Model(1)
     turn = F.xxhash64("doc_id", F.lit(78))
     picked = None
-    for grade in range(top + 1):
-        part = known.where(F.col("grade") == grade).orderBy(turn, "doc_id").limit(DOCS)
+    for level in sorted(r.grade for r in known.select("grade").distinct().collect()):
+        part = known.where(F.col("grade") == level).orderBy(turn, "doc_id").limit(DOCS)
         picked = part if picked is None else picked.unionByName(part)
+    if picked is None:
+        return Model([0])
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = named.join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string"), "grade", F.xxhash64("text").alias("turn"), "text").mapInArrow(counted, SAMPLE)
-    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("turn", "ascending")])
-    return train(rows["n_words"].to_numpy(), rows["used"].to_pylist(), rows["times"].to_pylist(), rows["grade"].to_numpy().astype(np.int64))
+    rows = named.join(F.broadcast(picked.distinct()), "doc_id").select(F.col("doc_id").cast("string"), "grade", F.xxhash64("text").alias("turn"), "text").mapInArrow(counted, SAMPLE)
+    # Rows that repeat an id: one of each id and grade, so the sample stays within its bound.
+    one = rows.groupBy("doc_id", "grade").agg(F.min_by(F.struct("n_words", "used", "times"), "turn").alias("x")).select("doc_id", "grade", "x.*")
+    found = one.toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    return train(found["n_words"].to_numpy(), found["used"].to_pylist(), found["times"].to_pylist(), found["grade"].to_numpy().astype(np.int64))
 
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", tail: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, expected_grade, tail_prob`` (of reaching grade ``tail``, the top one if not given) ``, grade``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    tail = model.grades - 1 if tail is None else tail
 
+    @kernel.tidy
     def judge(batches):
+        model = shared.value
         for batch in batches:
             for a, b, data, offsets in kernel.text_slices(batch.column(1)):
-                beyond = shared.value.beyond(shared.value.scale(data, offsets))
-                reach = beyond[:, tail - 1] if 0 < tail <= beyond.shape[1] else np.full(b - a, float(tail == 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(beyond.sum(1)), pa.array(reach), pa.array((beyond > 0.5).sum(1).astype(np.int32))], names=["doc_id", "expected_grade", "tail_prob", "grade"])
+                beyond = model.beyond(model.scale(data, offsets))
+                given = model.levels[(beyond > 0.5).sum(1)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.expected(beyond)), pa.array(model.reach(beyond, tail)), pa.array(given)], names=["doc_id", "expected_grade", "tail_prob", "grade"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, SCHEMA)
 
@@ -169,13 +186,13 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def select_quality(docs: DataFrame, model: Model, least: float, id_col: str = "doc_id", text_col: str = "text", tail: int | None = None) -> DataFrame:
     """The documents that reach grade ``tail`` with a probability of at least ``least``, in their own columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    tail = model.grades - 1 if tail is None else tail
 
+    @kernel.tidy
     def keep(batches):
+        model = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            found = [shared.value.beyond(shared.value.scale(d, o)) for _, _, d, o in kernel.text_slices(batch.column(at))]
-            reach = np.concatenate([x[:, tail - 1] if 0 < tail <= x.shape[1] else np.full(len(x), float(tail == 0)) for x in found]) if found else np.zeros(0)
-            yield batch.filter(pa.array(reach >= least))
+            found = [model.reach(model.beyond(model.scale(d, o)), tail) for _, _, d, o in kernel.text_slices(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *found]) >= least))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -37,6 +37,38 @@ def test_grades_on_held_out_rows(spark):
     assert ordinal.grade(odd, ordinal.learn(df, ratings.where("grade > 9"))).agg({"grade": "max"}).first()[0] == 0
 
 
+def test_a_rare_middle_grade_is_recovered(spark):
+    rows = [(i, t, 2 * g + 1) for i, t, g in corpus(900, 7) if g != 2 or i % 20 == 2]  # grades 1, 3, 5 and 7, of which 5 is rare
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = ordinal.learn(df, spark.createDataFrame([(i, g) for i, _, g in rows if i % 3 != 1], "doc_id long, grade int"))
+    assert model.levels.tolist() == [1, 3, 5, 7]
+    got = {r.doc_id: r for r in ordinal.grade(df, model, tail=5).collect()}
+    for grade in (1, 3, 5, 7):
+        held = [got[i] for i, _, g in rows if i % 3 == 1 and g == grade]
+        assert held and np.mean([r.grade == grade for r in held]) > 0.5, grade
+    assert all(1 <= r.expected_grade <= 7 for r in got.values())
+
+
+def test_scores_match_the_plain_formula(spark):
+    """Brute force: each word's weights summed, their mean cut by the thresholds."""
+    rows = corpus(200, 3)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = ordinal.learn(df, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int"))
+    got = {r.doc_id: r for r in ordinal.grade(df, model).collect()}
+    for i, text, _ in rows[:40]:
+        words, total = text.split(), 0.0
+        for k, w in enumerate(words):
+            one = ordinal.pa.array([w])
+            buckets = ordinal.features(*ordinal.kernel.string_buffers(one))[0][0].copy()
+            if k and words[k - 1] == w:
+                same = ordinal.kernel.mix(np.ones(1, np.uint64))[0]
+                buckets[3] = int(same >> np.uint64(49)) + 3 * ordinal.BUCKETS
+            total += model.weights[buckets].sum()
+        scale = ordinal.SCALE * total / len(words)
+        beyond = 1 / (1 + np.exp(model.thresholds - scale))
+        assert abs(got[i].expected_grade - beyond.sum()) < 1e-9 and abs(got[i].tail_prob - beyond[-1]) < 1e-9
+
+
 def test_learns_from_whole_texts(spark):
     rows = corpus(120)
     filler = "plain " * 3000
