@@ -15,7 +15,7 @@ driver takes their texts in blocks and holds a number for each of their words.
 
 Defined cases: null and empty texts, and texts without words, get the score of an empty window; null labels
 are not learned from; without both classes every score is 0; null ids are kept; rows are judged one by one;
-of rows that repeat an id and text the labels are all used; further columns are ignored.
+of rows that repeat an id, the first text is learned from, with all labels of the id; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -301,7 +301,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.where(F.col("label") == label).orderBy(turn, "doc_id").limit(DOCS)
         picked = part if picked is None else picked.unionByName(part)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
-    rows = named.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "label", "text").select("label", "text").toArrow()
+    # Rows that repeat an id: one text of each id and label, so the sample stays within its bound.
+    one = named.join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = one.orderBy("doc_id", "label").select("label", "text").toArrow()
     toxic = rows["label"].to_numpy().astype(np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
@@ -315,6 +317,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     """One row per document: ``doc_id, score, predicted``."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    @kernel.tidy
     def judge(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for a, b, data, offsets in kernel.text_slices(batch.column(1), 1 << 20):

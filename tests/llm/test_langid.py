@@ -43,3 +43,32 @@ def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.learn(empty) == {} and langid.identify(empty, {}).count() == 0
     assert langid.identify(spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}).first().lang_pred == "und"
+
+
+def test_many_languages_and_long_texts_are_learned(spark):
+    """Seventy languages, one of them only in a text far beyond a dictionary, one mostly in copies of one text."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x " * 40 + f"word{chr(97 + i % 26)}", f"l{i:02d}") for i in range(68)]
+    rows += [(100, "zu lang fur ein worterbuch aber ganz gelernt " * 20_000, "long")] + [(200 + i, "copy of one text " * 50, "copied") for i in range(400)]
+    rows += [(700 + i, f"quite another text with number {chr(97 + i)} " * 30, "copied") for i in range(3)]
+    found = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dictionary=4096)
+    assert len(found) == 70 and next(iter(found)) == "copied"
+    assert b"gelernt" in found["long"] and len(found["long"]) > 3000
+    assert b"copy of" in found["copied"] and b"quite another" in found["copied"]
+
+
+def test_scores_match_the_plain_rule():
+    """Brute force: each dictionary packs each block by itself, the smallest sum wins, the earlier language at ties."""
+    import zstandard
+
+    texts = [t for _, t, _ in corpus()]
+    dictionaries = {g: langid.folded(t) * 20 for g, t in SAY.items()} | {"copy": langid.folded(SAY["fr"]) * 20}
+    classifier = langid.Classifier(dictionaries)
+    for text in texts[:60] + [texts[0] * 200]:
+        folded, sizes = langid.folded(text), {}
+        for lang, words in dictionaries.items():
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(packer.compress(folded[a : a + langid.BLOCK])) for a in range(0, len(folded), langid.BLOCK))
+        best = min(sizes, key=sizes.get)
+        lang, score, rejected, _ = classifier.judge(text)
+        assert lang == best and abs(score - 1 / sum(2.0 ** (sizes[best] - n) for n in sizes.values())) < 1e-9
+        assert rejected or lang != "fr"  # its copy packs as small
