@@ -311,7 +311,7 @@ def token_counts(raw: DataFrame, vocabulary: int) -> DataFrame:
     return raw.select("n_tokens", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], rank: np.ndarray, block_tokens: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, doc_id, n_tokens, ids) in order, gathered into blocks."""
     shard, block, start, held, size = None, 0, 0, [], 0
 
@@ -331,13 +331,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.
         # The rows that still go into the open block, and so on.
         row = 0
         while row < batch.num_rows:
-            until = min(batch.num_rows, row + 1 + int(np.searchsorted(np.cumsum(counts[row:]), BLOCK_TOKENS - size)))
+            until = min(batch.num_rows, row + 1 + int(np.searchsorted(np.cumsum(counts[row:]), block_tokens - size)))
             part = batch.slice(row, until - row)
             own = counts[row:until]
             held.append((part.column(1).fill_null(NULL_ID).to_numpy(), own, _flat(part.column(3), own).copy()))
             size += int(own.sum())
             row = until
-            if size >= BLOCK_TOKENS:
+            if size >= block_tokens:
                 yield flush()
     if held:
         yield flush()
@@ -367,11 +367,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     rank[by_rank] = np.arange(len(by_rank))
     size = 5 * (raw.agg(F.sum("n_tokens")).first()[0] or 0)  # about five bytes of text to a token
     n = max(1, min(MANY_SHARDS, -(-size // SHARD_BYTES)))
-    shared = spark.sparkContext.broadcast(rank)
+    shared, block_tokens = spark.sparkContext.broadcast(rank), BLOCK_TOKENS
 
     @kernel.tidy
     def blocks(batches):
-        return _blocks(batches, shared.value)
+        return _blocks(batches, shared.value, block_tokens)
 
     keyed = raw.withColumn("tie", F.xxhash64("ids"))
     ordered = keyed.repartitionByRange(int(n), "order", "tie").sortWithinPartitions("order", "tie").select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "ids")
