@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from quarrylake.functions import text as T
 
 MAX_CHARS, OVERLAP, MIN_CHARS, MAX_TOKENS = 2048, 0, 40, 512
+#: Blocks shorter than this are joined with neighbours under one heading.
+SHORT = 512
+#: Lines that begin a part of a section: numbered, bold, or all capitals.
+_NUMBERED = re.compile(r"^\s*(?:-\s*)?(\d+(?:\.\d+)*?)[.)]\s+(.{3,120})$")
+_BOLD = re.compile(r"^\s*(?:-\s*)?\*\*(.{2,80}?)\*\*:?\s*$")
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*#*$", re.MULTILINE)
 
 
@@ -69,6 +74,158 @@ def packed_of(text: str, max_chars: int = MAX_CHARS) -> list[str]:
     return out + [held] * bool(held)
 
 
+def section_parts_of(markdown: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[str, int, str]]:
+    """Section-aware chunks (title, part, text): paragraphs packed to a budget, an oversized one in fixed windows."""
+    if not 0 <= overlap < max_chars:
+        raise ValueError("the overlap must be smaller than the budget")
+    out = []
+    for title, _, _, body, _, _ in sections_of(markdown):
+        held, parts = "", []
+        if len(body) <= max_chars:
+            parts = [body]
+        else:
+            for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", body))):
+                joined = f"{held}\n\n{paragraph}" if held else paragraph
+                if len(joined) <= max_chars:
+                    held = joined
+                    continue
+                parts += [held] * bool(held)
+                held = ""
+                if len(paragraph) <= max_chars:
+                    parts.append(paragraph)
+                else:
+                    at = range(0, max(1, len(paragraph) - overlap), max_chars - overlap)
+                    parts += [x for a in at if (x := paragraph[a : a + max_chars].strip())]
+            parts += [held] * bool(held)
+        out += [(title, k, text) for k, text in enumerate(parts)]
+    return out
+
+
+def _part_title(line: str) -> str | None:
+    line = line.strip()
+    if m := _NUMBERED.match(line):
+        return f"{m[1]} {m[2]}".strip()
+    if m := _BOLD.match(line):
+        return m[1].strip()
+    if line and len(line) <= 60 and line[0] not in "#|-" and line.isupper() and sum(c.isalpha() for c in line) >= 3:
+        return line
+    return None
+
+
+def _blocks_of(markdown: str, root: str | None) -> list[tuple[list[str], int, int, int]]:
+    """Path, level and place of each part of each section that has a text."""
+    out = []
+    for _, level, path, body, start, _ in sections_of(markdown):
+        if root and (not path or path[0].strip().lower() != root.strip().lower()):
+            path = [root.strip(), *path]
+        marks, at = [], 0
+        for line in body.splitlines(keepends=True):
+            if title := _part_title(line):
+                marks.append((at, at + len(line), title))
+            at += len(line)
+        bounds = [(0, 0, None), *marks] if not marks or body[: marks[0][0]].strip() else marks
+        if len(bounds) <= 1:
+            bounds = [(0, 0, None)]
+        for k, (_, a, title) in enumerate(bounds):
+            b = bounds[k + 1][0] if k + 1 < len(bounds) else len(body)
+            text = body[a:b].strip()
+            if text:
+                first = start + a + len(body[a:b]) - len(body[a:b].lstrip())
+                out.append((path + [title] * bool(title), level, first, first + len(text)))
+    return out
+
+
+def _shared(paths: list[list[str]]) -> list[str]:
+    out = []
+    for names in zip(*paths, strict=False):
+        if len(set(names)) > 1:
+            break
+        out.append(names[0])
+    return out
+
+
+def _merged(blocks, key, fits, limit: int):
+    """Runs of neighbours with one key joined while they fit a budget together."""
+    out, run = [], []
+
+    def flush():
+        if run:
+            out.append((_shared([b[0] for b in run]), run[0][1], run[0][2], run[-1][3]) if len(run) > 1 else run[0])
+            run.clear()
+
+    for block in blocks:
+        if not fits(block):
+            flush()
+            out.append(block)
+            continue
+        if run and (key(run[0]) != key(block) or block[3] - run[0][2] > limit):
+            flush()
+        run.append(block)
+    flush()
+    return out
+
+
+def _sliced(body: str, max_chars: int) -> list[str]:
+    """Lines and paragraphs packed to a budget; a longer line by sentences, a longer sentence by characters."""
+    units = []
+    for block in filter(None, map(str.strip, re.split(r"\n\s*\n", body))):
+        for line in [block] if len(block) <= max_chars else filter(None, map(str.strip, block.splitlines())):
+            for sentence in [line] if len(line) <= max_chars else re.split(r"(?<=[.!?;])\s+", line):
+                units += [sentence[a : a + max_chars] for a in range(0, len(sentence), max_chars)]
+    out: list[str] = []
+    for unit in units:
+        if out and len(out[-1]) + 1 + len(unit) <= max_chars:
+            out[-1] += "\n" + unit
+        else:
+            out.append(unit)
+    return out
+
+
+def hierarchical_of(markdown: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, root: str | None = None) -> list[tuple[list[str], int, int, int, int, int, str]]:
+    """Path, level, part, parts, place and text of hierarchical chunks.
+
+    Short blocks with one parent are joined, then neighbours under the same two top headings, while they fit;
+    longer ones are cut, each later part beginning with the last ``overlap`` characters (from a word on) of the one
+    before.  Single parts of under ``MIN_CHARS`` characters without a digit go.
+    """
+    if not 0 <= overlap < max_chars:
+        raise ValueError("the overlap must be smaller than the budget")
+    blocks = _merged(_blocks_of(markdown, root), lambda b: b[0][:-1], lambda b: len(b[0]) >= 2 and b[3] - b[2] < SHORT, max_chars)
+    blocks = _merged(blocks, lambda b: b[0][:2], lambda b: b[3] - b[2] <= max_chars, max_chars)
+    out = []
+    for path, level, start, end in blocks:
+        body = markdown[start:end]
+        parts = [body] if len(body) <= max_chars else _sliced(body, max_chars)
+        if len(parts) == 1 and len(body.strip()) < MIN_CHARS and not any(c.isdigit() for c in body):
+            continue
+        at = 0
+        for k, part in enumerate(parts):
+            probe = part.split("\n", 1)[0]
+            at = max(at, body.find(probe, at))
+            tail = parts[k - 1][-overlap:] if k and overlap else ""
+            tail = tail.split(" ", 1)[-1] if " " in tail else tail
+            out.append((path, level, k + 1, len(parts), start + at, min(end, start + at + len(part)), f"{tail}\n{part}".strip()))
+            at += len(probe)
+    return out
+
+
+def boundary_of(text: str, size: int = 1500, seek: int = 200, overlap: int = 200) -> list[str]:
+    """Windows over collapsed text that end after a period in their last ``seek`` characters, else at the last space."""
+    text = " ".join(text.split())
+    out, start = [], 0
+    while start < len(text):
+        stop = min(start + size, len(text))
+        if stop < len(text):
+            period = text.rfind(". ", max(start, stop - seek), stop)
+            space = text.rfind(" ", start, stop)
+            stop = period + 1 if period >= 0 else space if space > start else stop
+        out.append(text[start:stop].strip())
+        if stop >= len(text):
+            break
+        start = max(stop - overlap, start + 1)
+    return [x for x in out if x]
+
+
 def _exploded(frame: DataFrame, make, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -104,3 +261,49 @@ def token_groups(parts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     start = F.sum("tokens").over(own) - F.col("tokens")
     grouped = parts.withColumn("part", F.floor(start / max_tokens))
     return grouped.groupBy("doc_id", "part").agg(F.count("*").alias("paragraphs"), F.sum("tokens").alias("tokens"), F.min("idx").alias("first_idx"))
+
+
+def section_parts(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    return _exploded(docs, lambda t: section_parts_of(t, max_chars, overlap), "doc_id long, idx long, title string, part int, chunk string")
+
+
+def hierarchical(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, root: str | None = None) -> DataFrame:
+    return _exploded(docs, lambda t: hierarchical_of(t, max_chars, overlap, root), "doc_id long, idx long, path array<string>, level int, part int, parts int, start int, stop int, chunk string")
+
+
+def boundaries(docs: DataFrame, size: int = 1500, seek: int = 200, overlap: int = 200) -> DataFrame:
+    return _exploded(docs, lambda t: [(x,) for x in boundary_of(t, size, seek, overlap)], "doc_id long, idx long, chunk string")
+
+
+def by_pages(items: DataFrame) -> DataFrame:
+    """Page-aware chunks of ``items(doc_id, idx, pages, text)``: texts of the same pages joined, in order."""
+    held = items.where("trim(text) <> ''").groupBy("doc_id", "pages").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("own"))
+    return held.select("doc_id", "pages", F.col("own")[0]["idx"].alias("idx"), F.array_join(F.transform("own", lambda x: F.trim(x["text"])), "\n\n").alias("chunk"))
+
+
+CHUNKERS = {"windows": windows, "packed": packed, "sections": section_parts, "hierarchical": hierarchical, "boundaries": boundaries}
+
+
+def chunked(docs: DataFrame, name: str, **how) -> DataFrame:
+    """A chunker by name; where it can't be loaded (models, say) the hierarchical one stands in."""
+    if name not in CHUNKERS:
+        raise ValueError(f"unknown chunker {name}; known: {', '.join(sorted(CHUNKERS))}")
+    try:
+        return CHUNKERS[name](docs, **how)
+    except (ImportError, OSError):
+        return hierarchical(docs)
+
+
+def built(parts: DataFrame, kind: str) -> DataFrame:
+    """Chunk records of ``parts(source, section, idx, chunk)``: id, number within the section, hash of the content."""
+    from pyspark.sql import Window
+
+    section = F.coalesce(F.nullif(F.trim("section"), F.lit("")), F.lit("main"))
+    numbered = parts.withColumn("section", section).withColumn("chunk_index", F.row_number().over(Window.partitionBy("source", "section").orderBy("idx")) - 1)
+    return numbered.select(T.chunk_id(F.lit(kind), F.col("source"), F.col("section"), F.col("chunk_index")).alias("chunk_id"), "source", "section", "chunk_index", F.col("chunk").alias("text"), T.fingerprint(F.col("chunk")).alias("content_hash"))
+
+
+def from_text(docs: DataFrame, kind: str = "text") -> DataFrame:
+    """Plain texts ``(doc_id, text)`` to chunk records: white space collapsed, windows of the budget; empty texts have none."""
+    clean = docs.select("doc_id", T.collapse(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    return built(windows(clean).select(F.col("doc_id").cast("string").alias("source"), F.lit("").alias("section"), "idx", "chunk"), kind)

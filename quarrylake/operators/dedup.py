@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
+from quarrylake.operators import retrieval
+from quarrylake.operators.cluster import written
+from quarrylake.operators.evaluation import sequence
 
 SIMHASH_BITS, SHINGLE, DISTANCE, COSINE = 64, 4, 6, 0.92
 LAYERS = ("exact_sha256", "simhash", "embedding")
 BLOCK = 512
+#: Blocks of a fingerprint, and how many of them make a key.
+PARTS, KEY_PARTS = 10, 4
+
+
+def text_key(c: Column) -> Column:
+    """The normalised text (NFKC, case-folded, no zero-width characters, collapsed); Python sees only texts beyond ASCII."""
+    return F.coalesce(T.dedup_text(F.when(c.rlike(r"[^\x00-\x7F]"), c)), T.dedup_text_latin(c))
 
 
 def exact_matches(chunks: DataFrame) -> DataFrame:
@@ -19,32 +31,58 @@ def exact_matches(chunks: DataFrame) -> DataFrame:
 
     The first of each text comes from an aggregation (combined before the shuffle) that only repeated texts survive.
     """
-    keyed = chunks.select("chunk_id", "pos", T.fingerprint(T.dedup_text_latin(F.col("text"))).alias("key"))
+    keyed = chunks.select("chunk_id", "pos", T.fingerprint(text_key(F.col("text"))).alias("key"))
     first = keyed.groupBy("key").agg(F.min(F.struct("pos", "chunk_id")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.chunk_id").alias("canonical_id"))
     return keyed.join(first, "key").where("chunk_id <> canonical_id").select("canonical_id", F.col("chunk_id").alias("duplicate_id"), F.lit(LAYERS[0]).alias("layer"), F.lit(1.0).alias("score"), F.lit(0).alias("distance"))
 
 
 def fingerprints(chunks: DataFrame) -> DataFrame:
-    words = F.filter(F.split(T.dedup_text_latin(F.col("text")), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    words = F.filter(F.split(text_key(F.col("text")), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     return chunks.select("chunk_id", "pos", T.simhash(words).alias("print"))
 
 
+def _part_masks(parts: int) -> list[int]:
+    edges = [round(i * SIMHASH_BITS / parts) for i in range(parts + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [signed((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def print_pairs(left: DataFrame, right: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``l_id, l_pos, r_id, r_pos, distance``: fingerprints ``(chunk_id, pos, print)`` within a distance, l before r.
+
+    Of ``PARTS`` blocks at most ``distance`` differ, so some ``PARTS - distance`` are equal: keys of ``KEY_PARTS`` blocks
+    (25 bits; fewer blocks for larger distances) meet every such pair, and the key of its first equal blocks alone reports it.
+    """
+    parts = max(PARTS, distance + 1)
+    size = min(KEY_PARTS, parts - distance)
+    masks, chosen = _part_masks(parts), list(combinations(range(parts), size))
+    joint = [np.bitwise_or.reduce(np.array([masks[i] for i in c], np.int64)).item() for c in chosen]
+    combos = F.array(*[F.struct(F.lit(n).alias("combo"), F.lit(mask).cast("long").alias("mask"), F.lit((1 << (c[-1] + 1)) - 1).cast("long").alias("upto")) for n, (c, mask) in enumerate(zip(chosen, joint, strict=True))])
+
+    def spread(df, s):
+        keyed = df.withColumn("c", F.explode(combos))
+        return keyed.select("c.combo", F.col("print").bitwiseAND(F.col("c.mask")).alias("bits"), F.col("c.upto").alias(f"{s}_upto"), F.col("chunk_id").alias(f"{s}_id"), F.col("pos").alias(f"{s}_pos"), F.col("print").alias(f"{s}_print"))
+
+    met = spread(left, "l").join(spread(right, "r"), ["combo", "bits"]).where("l_pos < r_pos")
+    differ = F.col("l_print").bitwiseXOR(F.col("r_print"))
+    near = met.withColumn("distance", F.bit_count(differ)).where(F.col("distance") <= distance)
+    equal = None
+    for i, mask in enumerate(masks):
+        bit = F.when(differ.bitwiseAND(F.lit(mask).cast("long")) == 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        equal = bit if equal is None else equal + bit
+    return near.where(F.bit_count(equal.bitwiseAND(F.col("l_upto"))) == size).select("l_id", "l_pos", "r_id", "r_pos", "distance")
+
+
 def simhash_matches(chunks: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs within a Hamming distance: equal fingerprints form a class first, then bands find the rest.
+    """Pairs within a Hamming distance: equal fingerprints form a class first, then keys of several blocks find the rest.
 
-    With ``distance + 1`` bands some band of every such pair is equal (pigeonhole), so none is missed.
-    Pairs are of class representatives (first by position) plus each member with its representative.
+    Pairs are of class representatives (first by position) plus each member with its representative.  The
+    fingerprints are made once, through the shared folder.
     """
-    prints = fingerprints(chunks)
+    prints = written(fingerprints(chunks), "prints")
     reps = prints.groupBy("print").agg(F.min(F.struct("pos", "chunk_id")).alias("r")).select("print", F.col("r.pos").alias("pos"), F.col("r.chunk_id").alias("chunk_id"))
     members = prints.join(reps.select("print", F.col("chunk_id").alias("canonical_id")), "print").where("chunk_id <> canonical_id").select("canonical_id", F.col("chunk_id").alias("duplicate_id"), F.lit(0).alias("distance"))
-    n = distance + 1
-    edges = [round(i * SIMHASH_BITS / n) for i in range(n + 1)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1).cast("long")).alias("bits")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-    spread = reps.withColumn("b", F.explode(bands)).select("chunk_id", "pos", "print", "b.band", "b.bits")
-    left, right = (spread.select("band", "bits", F.col("chunk_id").alias(f"{s}_id"), F.col("pos").alias(f"{s}_pos"), F.col("print").alias(f"{s}_print")) for s in "lr")
-    near = left.join(right, ["band", "bits"]).where("l_pos < r_pos").withColumn("distance", T.hamming(F.col("l_print"), F.col("r_print"))).where(F.col("distance") <= distance)
-    pairs = near.select(F.col("l_id").alias("canonical_id"), F.col("r_id").alias("duplicate_id"), "distance").distinct()
+    pairs = print_pairs(reps, reps, distance).select(F.col("l_id").alias("canonical_id"), F.col("r_id").alias("duplicate_id"), "distance")
     return members.unionByName(pairs).select("canonical_id", "duplicate_id", F.lit(LAYERS[1]).alias("layer"), F.round(1 - F.col("distance") / SIMHASH_BITS, 6).alias("score"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -102,7 +140,7 @@ def duplicate_metadata(matches: DataFrame) -> DataFrame:
 
 def counters(matches: DataFrame) -> DataFrame:
     """Counts of matches and of duplicates, in all and by layer."""
-    by = [F.count_if(F.col("layer") == x).alias(f"n_{x}") for x in LAYERS[:2]] + [F.count_distinct(F.when(F.col("layer") == x, F.col("duplicate_id"))).alias(f"chunks_{x}") for x in LAYERS[:2]]
+    by = [F.count_if(F.col("layer") == x).alias(f"n_{x}") for x in LAYERS] + [F.count_distinct(F.when(F.col("layer") == x, F.col("duplicate_id"))).alias(f"chunks_{x}") for x in LAYERS]
     return matches.agg(F.count("*").alias("n"), F.count_distinct("duplicate_id").alias("chunks"), *by)
 
 
@@ -114,7 +152,7 @@ def review_page(matches: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 def incremental_exact(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New chunks whose normalised text an existing or earlier new chunk has (existing ones come first)."""
     both = existing.select("chunk_id", "pos", "text", F.lit(0).alias("side")).unionByName(new.select("chunk_id", "pos", "text", F.lit(1).alias("side")))
-    keyed = both.withColumn("key", T.fingerprint(T.dedup_text_latin(F.col("text"))))
+    keyed = both.withColumn("key", T.fingerprint(text_key(F.col("text"))))
     first = keyed.groupBy("key").agg(F.min(F.struct("side", "pos", "chunk_id")).alias("c")).select("key", F.col("c.chunk_id").alias("canonical_id"))
     return keyed.where("side = 1").join(first, "key").where("chunk_id <> canonical_id").select("canonical_id", F.col("chunk_id").alias("duplicate_id"))
 
@@ -122,3 +160,133 @@ def incremental_exact(existing: DataFrame, new: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by an order column (upserts as last-write-wins)."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def embedding_cell_matches(vectors: DataFrame, threshold: float = COSINE, recall: float = 0.95, per_cell: int = 200, seed: int = 17) -> DataFrame:
+    """Like :func:`embedding_matches` for tables too large for all pairs: random hyperplanes deal vectors into cells.
+
+    A pair at the threshold shares a cell of at least one table with the given probability (higher above it);
+    pairs in a cell are checked exactly.  Worth it for thresholds well above 0.8.
+    """
+    known = vectors.where("embedding IS NOT NULL")
+    first = known.select(F.size("embedding").alias("n")).first()
+    n = known.count()
+    bits = max(1, int(np.ceil(np.log2(max(2, n / per_cell)))))
+    agree = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
+    planes = np.random.default_rng(seed).normal(size=(first.n if first else 1, tables * bits))
+
+    def deal(batches):
+        weight = 1 << np.arange(bits)
+        for batch in batches:
+            if len(batch):
+                own = np.stack(batch.embedding.to_numpy()).astype(np.float64) @ planes > 0
+                cells = (own.reshape(len(batch), tables, bits) * weight).sum(2)
+                yield pd.DataFrame({"chunk_id": np.repeat(batch.chunk_id.to_numpy(), tables), "cell": (cells + (np.arange(tables) << bits)).ravel()})
+
+    cells = known.select("chunk_id", "embedding").mapInPandas(deal, "chunk_id long, cell long")
+    both = cells.join(known.select("chunk_id", "pos"), "chunk_id")
+    a, b = (both.select("cell", F.col("chunk_id").alias(f"{s}_id"), F.col("pos").alias(f"{s}_pos")) for s in "lr")
+    pairs = a.join(b, "cell").where("l_pos < r_pos").select(F.col("l_id").alias("canonical_id"), F.col("r_id").alias("duplicate_id")).distinct()
+    side = lambda name, v: known.select(F.col("chunk_id").alias(name), F.col("embedding").alias(v))
+    scored = pairs.join(side("canonical_id", "x"), "canonical_id").join(side("duplicate_id", "y"), "duplicate_id").withColumn("score", F.round(T.cosine(F.col("x"), F.col("y")), 6))
+    return scored.where(F.col("score") >= threshold).select("canonical_id", "duplicate_id", F.lit(LAYERS[2]).alias("layer"), "score", F.lit(None).cast("int").alias("distance"))
+
+
+def incremental(existing: DataFrame, new: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Exact and SimHash matches of new chunks: each with the first chunk before it (existing ones come first) that matches.
+
+    Chunks with an exact match take no part in the SimHash layer; one with a SimHash match may still be matched by later ones.
+    """
+    exact = incremental_exact(existing, new).select("canonical_id", "duplicate_id", F.lit(LAYERS[0]).alias("layer"), F.lit(1.0).alias("score"), F.lit(0).alias("distance"))
+    left = new.join(exact.select(F.col("duplicate_id").alias("chunk_id")), "chunk_id", "left_anti")
+    ordered = lambda df, side: fingerprints(df).select("chunk_id", F.struct(F.lit(side).alias("side"), F.col("pos"), F.col("chunk_id").alias("id")).alias("pos"), "print")
+    old, fresh = written(ordered(existing, 0), "prints"), written(ordered(left, 1), "prints")
+    near = print_pairs(old.unionByName(fresh), fresh, distance).groupBy("r_id").agg(F.min_by(F.struct("l_id", "distance"), "l_pos").alias("m"))
+    found = near.select(F.col("m.l_id").alias("canonical_id"), F.col("r_id").alias("duplicate_id"), F.lit(LAYERS[1]).alias("layer"), F.round(1 - F.col("m.distance") / SIMHASH_BITS, 6).alias("score"), F.col("m.distance").cast("int").alias("distance"))
+    return exact.unionByName(found)
+
+
+def nearest_elsewhere(existing: DataFrame, new: DataFrame, threshold: float = COSINE, k: int = 5) -> DataFrame:
+    """The k nearest vectors ``(chunk_id, document_id, embedding)`` of other documents for each new chunk, at the threshold.
+
+    Exact: as many more are looked for as the document of a new chunk can have ahead of them.
+    """
+    most = existing.join(new.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").count().agg(F.max("count")).first()[0] or 0
+    hits = retrieval.dense(existing, new.select(F.col("chunk_id").alias("query_id"), "embedding"), k + most)
+    named = hits.join(new.select(F.col("chunk_id").alias("query_id"), F.col("document_id").alias("own")), "query_id").join(existing.select("chunk_id", "document_id"), "chunk_id")
+    other = named.where((F.col("document_id") != F.col("own")) & (F.col("score") >= threshold))
+    return retrieval.ranked(other.drop("rank"), k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank")
+
+
+def canonical_positions(chunks: DataFrame, referenced: DataFrame) -> DataFrame:
+    """Add ``pos``: chunks that evaluation refers to first, then those with a time, by time, document, place and id."""
+    flagged = chunks.join(referenced.select("chunk_id").distinct().withColumn("ref", F.lit(True)), "chunk_id", "left")
+    order = (F.col("ref").isNull(), F.col("created_at").isNull(), F.col("created_at"), F.col("document_id"), F.coalesce("chunk_index", F.lit(1_000_000)), F.col("chunk_id"))
+    return sequence(flagged, *order, name="pos").drop("ref")
+
+
+def stripped(chunks: DataFrame) -> DataFrame:
+    """Without any duplicate flag."""
+    return chunks.drop("deduplication")
+
+
+def attached(chunks: DataFrame, matches: DataFrame) -> DataFrame:
+    """Duplicates (never their canonical chunks) get ``deduplication``; flags from before go."""
+    meta = duplicate_metadata(matches)
+    flag = F.struct(F.lit("duplicate_candidate").alias("status"), *[c for c in meta.columns if c != "chunk_id"])
+    return stripped(chunks).join(meta.select("chunk_id", flag.alias("deduplication")), "chunk_id", "left")
+
+
+def backfilled(chunks: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Chunks whose duplicate flag changes when all are detected anew, with the new flag."""
+    new = attached(chunks, cascade(stripped(chunks), None, distance))
+    old = chunks.select("chunk_id", F.col("deduplication").alias("old"))
+    same = lambda *f: [F.col(f"old.{x}").eqNullSafe(F.col(f"deduplication.{x}")) for x in f]
+    layers, canonical = same("layers", "canonical_id")
+    return new.join(old, "chunk_id").where(~(layers & canonical)).drop("old")
+
+
+def resolved(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Review rows: both sides' fields, the canonical one's empty where it is gone (its id reads ``missing``)."""
+    dup = chunks.select(F.col("chunk_id").alias("duplicate_id"), F.col("document_id").alias("duplicate_document"), F.substring("text", 1, 200).alias("duplicate_text"))
+    canon = chunks.select(F.col("chunk_id").alias("canonical_id"), F.col("document_id").alias("canonical_document"), F.substring("text", 1, 200).alias("canonical_text"))
+    joined = matches.join(dup, "duplicate_id").join(canon, "canonical_id", "left")
+    known = F.when(F.col("canonical_document").isNull(), "missing").otherwise(F.col("canonical_id").cast("string"))
+    return joined.withColumn("id", F.concat_ws("::", known, F.col("duplicate_id").cast("string"), "layer")).withColumn("canonical_text", F.coalesce("canonical_text", F.lit("")))
+
+
+def replaced(index: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """The candidate index with the rows of some documents (as duplicate side) replaced."""
+    gone = documents.select(F.col("document_id").alias("duplicate_document")).distinct()
+    return latest(index.join(gone, "duplicate_document", "left_anti").withColumn("_v", F.lit(0)).unionByName(rows.withColumn("_v", F.lit(1))), ["id"], "_v").drop("_v")
+
+
+def without_documents(index: DataFrame, documents: DataFrame) -> DataFrame:
+    """The index without rows that name a document on either side."""
+    ids = documents.select("document_id").distinct()
+    for side in ("duplicate_document", "canonical_document"):
+        index = index.join(ids.withColumnRenamed("document_id", side), side, "left_anti")
+    return index
+
+
+def flagged_by_layer(matches: DataFrame) -> DataFrame:
+    """``layer, ids``: the duplicates of each layer in order."""
+    return matches.groupBy("layer").agg(F.array_sort(F.collect_list("duplicate_id")).alias("ids"))
+
+
+def review_filter(layer: str | None = None, status: str | None = None, source_type: str | None = None, q: str | None = None, columns: tuple[str, ...] = ("duplicate_text", "canonical_text")) -> Column:
+    """Rows of a layer (any case), with a review status or status, of a source type, with a folded needle in some column."""
+    out = F.lit(True)
+    if layer:
+        out = out & (F.lower("layer") == layer.lower())
+    if status:
+        out = out & F.coalesce((F.col("review_status") == status) | (F.col("status") == status), F.lit(False))
+    if source_type:
+        out = out & (F.col("source_type") == source_type)
+    if q:
+        hit = F.lit(False)
+        for c in columns:
+            hit = hit | F.coalesce(F.contains(T.fold(F.col(c)), T.fold(F.lit(q))), F.lit(False))
+        out = out & hit
+    return out

@@ -34,7 +34,8 @@ def dedup_embedding(spark, d):
 
 
 def dedup_cascade(spark, d):
-    return dedup.cascade(_chunks(spark, d))
+    """All three layers; vectors stand for the documents of the same number."""
+    return dedup.cascade(_chunks(spark, d), _vectors(spark, d), threshold=0.5)
 
 
 def dedup_metadata(spark, d):
@@ -137,7 +138,73 @@ def keyword_overlap(spark, d):
     return words.join(heads, "term").groupBy("source", "term").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {f.__name__: f for f in (dedup_exact, dedup_simhash, dedup_embedding, dedup_cascade, dedup_metadata, dedup_counters, dedup_review_page, dedup_incremental, quality_exact_groups, quality_near_duplicates, quality_facts, quality_numeric_conflicts, claim_conflicts, text_fold, text_sentences, text_language_marks, text_paragraphs, text_token_groups, text_windows, text_packed, term_frequency, count_histogram, singleton_terms, keyword_overlap)}
+def dedup_incremental_all(spark, d):
+    """Every third document arrives after the others: exact and SimHash layers."""
+    c = _chunks(spark, d)
+    return dedup.incremental(c.where("pos % 3 <> 0"), c.where("pos % 3 = 0"))
+
+
+def dedup_nearest_elsewhere(spark, d):
+    """Every 20th vector arrives; vectors of one label are one document."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), "embedding")
+    return dedup.nearest_elsewhere(v, v.where("chunk_id % 20 = 0"), 0.1)
+
+
+def dedup_embedding_cells(spark, d):
+    """Approximate (recall measured in the tests), at the default threshold."""
+    v = _vectors(spark, d)
+    noisy = v.withColumn("chunk_id", F.col("chunk_id") + 1_000_000).withColumn("pos", F.col("chunk_id")).withColumn("embedding", F.transform("embedding", lambda x, i: (x + 0.02 * F.sin(i.cast("double"))).cast("float")))
+    return dedup.embedding_cell_matches(v.unionByName(noisy)).select("canonical_id", "duplicate_id", "layer", "score")
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), "text", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 50).alias("chunk_index"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 7).alias("created_at"))
+
+
+def dedup_canonical_order(spark, d):
+    refs = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"))
+    return dedup.canonical_positions(_documents(spark, d), refs).select("chunk_id", "pos")
+
+
+def dedup_attached(spark, d):
+    c = _documents(spark, d).withColumn("pos", F.col("chunk_id")).withColumn("deduplication", F.lit("stale"))
+    return dedup.attached(c, dedup.exact_matches(c)).select("chunk_id", "deduplication.status", "deduplication.primary_layer", "deduplication.canonical_id")
+
+
+def dedup_backfill(spark, d):
+    """Flags as of the exact layer of even documents only; those that change come out."""
+    c = _documents(spark, d).withColumn("pos", F.col("chunk_id"))
+    flagged = dedup.attached(c, dedup.exact_matches(c.where("chunk_id % 2 = 0")))
+    return dedup.backfilled(flagged).select("chunk_id", "deduplication.layers", "deduplication.canonical_id")
+
+
+def _index(spark, d):
+    c = _documents(spark, d).withColumn("pos", F.col("chunk_id"))
+    return dedup.resolved(dedup.exact_matches(c), c.where("chunk_id % 5 <> 1"))
+
+
+def dedup_resolved(spark, d):
+    return _index(spark, d).select("id", "duplicate_document", "canonical_document", F.sha2("canonical_text", 256).alias("canonical_sha256"))
+
+
+def dedup_index_sync(spark, d):
+    """Candidates of two sources replaced by nothing, those of a third gone from either side."""
+    index = _index(spark, d)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "document_id string")
+    return dedup.without_documents(dedup.replaced(index, index.limit(0), ids("src0", "src1")), ids("src2")).select("id", "duplicate_document", "canonical_document")
+
+
+def dedup_flagged(spark, d):
+    return dedup.flagged_by_layer(dedup.exact_matches(_chunks(spark, d))).select("layer", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("ids_sha256"), F.size("ids").cast("long").alias("n"))
+
+
+def dedup_review_filter(spark, d):
+    """Rows of the exact layer whose texts have a folded needle."""
+    rows = _index(spark, d).withColumn("review_status", F.when(F.col("duplicate_id") % 2 == 0, "open")).withColumn("status", F.lit("pending")).withColumn("source_type", F.lit("url"))
+    return rows.where(dedup.review_filter("EXACT_sha256", "open", "url", "É")).select("id")
+
+
+QUERIES = {f.__name__: f for f in (dedup_exact, dedup_simhash, dedup_embedding, dedup_cascade, dedup_metadata, dedup_counters, dedup_review_page, dedup_incremental, quality_exact_groups, quality_near_duplicates, quality_facts, quality_numeric_conflicts, claim_conflicts, text_fold, text_sentences, text_language_marks, text_paragraphs, text_token_groups, text_windows, text_packed, term_frequency, count_histogram, singleton_terms, keyword_overlap, dedup_incremental_all, dedup_nearest_elsewhere, dedup_embedding_cells, dedup_canonical_order, dedup_attached, dedup_backfill, dedup_resolved, dedup_index_sync, dedup_flagged, dedup_review_filter)}
 _EXACT = f"SELECT min(doc_id) OVER (PARTITION BY {_NORM}) AS canonical_id, doc_id AS duplicate_id FROM documents QUALIFY canonical_id <> duplicate_id"
 _TOK = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]+')"
 _LINES = r"SELECT doc_id, idx - 1 AS idx, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS chunk FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents)"
@@ -147,7 +214,7 @@ ORACLE = {
         round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
         FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= 0.4""",
     "dedup_metadata": f"SELECT duplicate_id AS chunk_id, 'exact_sha256' AS layers, 'exact_sha256' AS primary_layer, canonical_id, 1::BIGINT AS match_count, canonical_id::VARCHAR || '::' || duplicate_id::VARCHAR AS group_id FROM ({_EXACT})",
-    "dedup_counters": f"SELECT count(*) AS n, count(DISTINCT duplicate_id) AS chunks, count(*) AS n_exact_sha256, 0::BIGINT AS n_simhash, count(DISTINCT duplicate_id) AS chunks_exact_sha256, 0::BIGINT AS chunks_simhash FROM ({_EXACT})",
+    "dedup_counters": f"SELECT count(*) AS n, count(DISTINCT duplicate_id) AS chunks, count(*) AS n_exact_sha256, 0::BIGINT AS n_simhash, 0::BIGINT AS n_embedding, count(DISTINCT duplicate_id) AS chunks_exact_sha256, 0::BIGINT AS chunks_simhash, 0::BIGINT AS chunks_embedding FROM ({_EXACT})",
     "dedup_review_page": f"SELECT *, 'exact_sha256' AS layer, 1.0::DOUBLE AS score FROM ({_EXACT}) ORDER BY canonical_id, duplicate_id LIMIT 50 OFFSET 10",
     "dedup_incremental": f"SELECT canonical_id, doc_id AS duplicate_id FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY {_NORM} ORDER BY doc_id % 3 = 0, doc_id) AS canonical_id FROM documents) WHERE doc_id % 3 = 0 AND doc_id <> canonical_id",
     "quality_exact_groups": f"SELECT sha256(k) AS group_id, count(*) AS n, min(doc_id) AS first_chunk FROM (SELECT doc_id, {_KEY} AS k FROM documents) WHERE k <> '' GROUP BY k HAVING count(*) > 1",
@@ -174,3 +241,14 @@ ORACLE = {
     "singleton_terms": f"SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 20 THEN '6-20' ELSE '21+' END AS size, count(*) AS terms, sum(n)::BIGINT AS uses FROM (SELECT term, count(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term) GROUP BY 1",
     "keyword_overlap": f"SELECT source, term, count(*) AS docs FROM (SELECT DISTINCT doc_id, source, unnest({_TOK}) AS term FROM documents) WHERE term IN (SELECT {_TOK}[1] FROM benchmark) GROUP BY ALL",
 }
+_COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
+_ROWS = f"SELECT canonical_id, duplicate_id, b.source AS duplicate_document, b.text AS duplicate_text, a.source AS canonical_document, coalesce(left(a.text, 200), '') AS canonical_text, CASE WHEN a.source IS NULL THEN 'missing' ELSE canonical_id::VARCHAR END || '::' || duplicate_id || '::exact_sha256' AS id FROM ({_EXACT}) JOIN documents b ON b.doc_id = duplicate_id AND b.doc_id % 5 <> 1 LEFT JOIN documents a ON a.doc_id = canonical_id AND a.doc_id % 5 <> 1"
+ORACLE |= {
+    "dedup_nearest_elsewhere": f"SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 20 = 0) WHERE score >= 0.1) WHERE rank <= 5",
+    "dedup_canonical_order": "SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY doc_id NOT IN (SELECT doc_id FROM labels), doc_id % 4 = 0, CASE WHEN doc_id % 4 > 0 THEN doc_id % 7 END NULLS FIRST, source, CASE WHEN doc_id % 3 = 0 THEN doc_id % 50 ELSE 1000000 END, doc_id) AS pos FROM documents",
+    "dedup_attached": f"SELECT doc_id AS chunk_id, CASE WHEN canonical_id IS NOT NULL THEN 'duplicate_candidate' END AS status, CASE WHEN canonical_id IS NOT NULL THEN 'exact_sha256' END AS primary_layer, canonical_id FROM documents LEFT JOIN ({_EXACT}) ON duplicate_id = doc_id",
+    "dedup_resolved": f"SELECT id, duplicate_document, canonical_document, sha256(canonical_text) AS canonical_sha256 FROM ({_ROWS})",
+    "dedup_index_sync": f"SELECT id, duplicate_document, canonical_document FROM ({_ROWS}) WHERE duplicate_document NOT IN ('src0', 'src1', 'src2') AND coalesce(canonical_document, '') <> 'src2'",
+    "dedup_flagged": f"SELECT 'exact_sha256' AS layer, sha256(string_agg(duplicate_id::VARCHAR, ',' ORDER BY duplicate_id)) AS ids_sha256, count(*) AS n FROM ({_EXACT})",
+    "dedup_review_filter": f"SELECT id FROM ({_ROWS}) WHERE duplicate_id % 2 = 0 AND (contains(strip_accents(lower(left(duplicate_text, 200))), 'e') OR contains(strip_accents(lower(canonical_text)), 'e'))",
+}

@@ -140,16 +140,108 @@ def hybrid_metrics(spark, d):
     fused = retrieval.rrf(_channels(spark, d), 10)
     lists = fused.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
     asked = kinds.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("question_id"), "label")
-    # At most ten truths a question: the smallest ids of its label.
-    from pyspark.sql import Window
-
-    few = kinds.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("chunk_id"))).where("n <= 10")
-    truth = asked.join(few, "label").groupBy("question_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("relevant"))
+    truth = asked.join(kinds, "label").groupBy("question_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("relevant"))
     return evaluation.metrics(lists.withColumnRenamed("query_id", "question_id").join(truth, "question_id"), 5)
 
 
+def dense_by_blocks(spark, d):
+    """The same ranking as ``dense_top10``, by the way of more questions than are sent."""
+    return retrieval.dense(_vectors(spark, d), _asking(spark, d), 10, sent=0).select("query_id", "chunk_id", "score", "rank")
+
+
+def fusion_selector(spark, d):
+    """All three fusions of the same channels, by name."""
+    hits, out = _channels(spark, d), None
+    for method in retrieval.METHODS:
+        one = retrieval.fuse(hits, 5, method).select("query_id", "chunk_id", "score", "rank").withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _texts(spark, d):
+    """Documents with the vector of the same number, and benchmark items with theirs, as chunks and questions."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    chunks = table(spark, d, "documents").join(vectors, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("chunk_id"), "text", "embedding", "label", "lang")
+    questions = table(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), "text", "embedding")
+    return chunks, questions
+
+
+def hybrid_retrieve(spark, d):
+    """Dense and sparse over English documents, fused, then the graph channel (here: dense on half vectors) in turn."""
+    chunks, questions = _texts(spark, d)
+    graph = retrieval.dense(chunks.withColumn("embedding", F.slice("embedding", 1, 32)), questions.withColumn("embedding", F.slice("embedding", 1, 32)), 10)
+    return retrieval.hybrid(chunks, questions, 10, F.col("lang") == "en", [graph]).select("query_id", "chunk_id", "score", "rank")
+
+
+def linear_retrieve(spark, d):
+    chunks, questions = _texts(spark, d)
+    return retrieval.retrieve(chunks, questions, 5, 20, {"bm25": (1.0, 0.1), "dense": (0.05, None)}, 0.015).select("query_id", "chunk_id", "score", "rank")
+
+
+def stage_thresholds(spark, d):
+    """Fused hits with why they go: score, place, or too little evidence."""
+    fused = retrieval.rrf(_channels(spark, d), 15)
+    return retrieval.cut(fused, 8, 0.017, 6).select("query_id", "chunk_id", "rank", "removed")
+
+
+def type_boost(spark, d):
+    """Factors of document and question types, and of duplicate candidates."""
+    kinds = F.array(*map(F.lit, ("faq", "manual", "article", "spec_sheet", "policy", "unknown", "other")))
+    hits = retrieval.dense(_vectors(spark, d), _asking(spark, d), 20)
+    doc, asked = F.element_at(kinds, (F.col("chunk_id") % 7 + 1).cast("int")), F.element_at(kinds, (F.col("query_id") / 20 % 7 + 1).cast("int"))
+    factor = retrieval.type_factor(doc, asked) * retrieval.duplicate_factor(F.when(F.col("chunk_id") % 5 == 0, "duplicate_candidate"))
+    return retrieval.boosted(hits, factor, 10).select("query_id", "chunk_id", "score", "before", "rank")
+
+
+def fan_out_merge(spark, d):
+    """Each asking vector's halves as sub-queries."""
+    halves = [retrieval.dense(_vectors(spark, d, p), _asking(spark, d, p), 10).withColumn("sub", F.lit(n)) for n, p in enumerate(("first", "second"))]
+    return retrieval.merged_fan_out(halves[0].unionByName(halves[1])).select("query_id", "chunk_id", "score", "rank")
+
+
+def fresh_results(spark, d):
+    """Hits of both channels, each chunk once where it comes first."""
+    return retrieval.fresh_only(_channels(spark, d).withColumn("sub", F.col("query_id") % 1)).select("query_id", "chunk_id", "retriever", "rank")
+
+
+def score_rerank(spark, d):
+    fused = retrieval.rrf(_channels(spark, d), 15).withColumn("score", F.round(F.col("score") * (1 + F.col("chunk_id") % 3), 9))
+    return retrieval.rerank_by_score(fused, 6).select("query_id", "chunk_id", "score", "before", "rank")
+
+
+def model_rerank(spark, d):
+    """A stand-in scorer (lengths in common); the shortest questions make it fail, so their scores decide."""
+
+    def scorer(pairs):
+        return [-abs(len(q) - len(t)) for q, t in pairs]
+
+    chunks, questions = _texts(spark, d)
+    hits = retrieval.dense(chunks, questions, 10).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+    return retrieval.reranked(hits, 5, scorer).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "reranker")
+
+
+def provider_order(spark, d):
+    """Places as a provider might return them: last first, cut to three."""
+    hits = retrieval.dense(_vectors(spark, d), _asking(spark, d), 6)
+    orders = _asking(spark, d).select("query_id", F.array(*map(F.lit, (5, 0, 3, 1))).alias("indices"))
+    return retrieval.reordered_by_provider(hits, orders, 3).select("query_id", "chunk_id", "rank")
+
+
+def query_words(spark, d):
+    q = retrieval.preprocessed(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text"))
+    return q.select("query_id", F.sha2("normalized", 256).alias("normalized_sha256"), F.size("tokens").cast("long").alias("n"))
+
+
+def recency(spark, d):
+    """Decay of orders' dates at a fixed day, between 0.9 and 1; dates that don't parse count as new."""
+    date = F.when(F.col("o_orderkey") % 5 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    age = retrieval.age_days(date, F.to_timestamp(F.lit("1999-01-01 00:00:00")))
+    return table(spark, d, "orders").select("o_orderkey", F.round(retrieval.recency_factor(age, 0.9, 1.0), 6).alias("factor"))
+
+
 _DENSE20 = _dense_sql("all", 20)
 QUERIES = {"bm25_top10": bm25_top10, "sparse_top10": sparse_top10, "dense_top10": dense_top10, "rrf_fusion": rrf_fusion, "weighted_rrf_fusion": weighted_rrf_fusion, "score_fusion": score_fusion, "rrf_contributions": rrf_contributions, "threshold_filter": threshold_filter, "evidence_floor": evidence_floor, "metadata_boost": metadata_boost, "parent_collapse": parent_collapse, "filter_with_fallback": filter_with_fallback, "hybrid_metrics": hybrid_metrics}
+QUERIES |= {f.__name__: f for f in (dense_by_blocks, fusion_selector, hybrid_retrieve, linear_retrieve, stage_thresholds, type_boost, fan_out_merge, fresh_results, score_rerank, model_rerank, provider_order, query_words, recency)}
 ORACLE = {
     "bm25_top10": BM25_SQL,
     "sparse_top10": SPARSE_SQL,
@@ -167,7 +259,54 @@ ORACLE = {
     "filter_with_fallback": f"WITH h AS (SELECT h.*, c.label AS label, q.label AS asked FROM ({_dense_sql('all', 10)}) h JOIN embeddings c ON c.vec_id = chunk_id JOIN embeddings q ON q.vec_id = query_id WHERE query_id <> chunk_id) SELECT query_id, chunk_id, score, rank FROM h WHERE label = asked OR NOT EXISTS (SELECT 1 FROM h x WHERE x.query_id = h.query_id AND x.label = x.asked)",
     "hybrid_metrics": f"""WITH {_CHANNELS_SQL}, f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM h GROUP BY ALL),
         r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, chunk_id) AS rank FROM f) WHERE rank <= 10),
-        t AS (SELECT q.vec_id AS question_id, x.vec_id AS chunk_id FROM embeddings q JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) x USING (label) WHERE q.vec_id % 20 = 0 AND n <= 10),
+        t AS (SELECT q.vec_id AS question_id, x.vec_id AS chunk_id FROM embeddings q JOIN embeddings x USING (label) WHERE q.vec_id % 20 = 0),
         j AS (SELECT question_id, count(*) AS n, count(*) FILTER (rank <= 5) AS hits, min(rank) AS truth_rank FROM t LEFT JOIN r ON query_id = question_id AND r.chunk_id = t.chunk_id GROUP BY ALL)
         SELECT question_id, round(hits::DOUBLE / n, 6) AS recall, round(CASE WHEN truth_rank <= 5 THEN 1.0::DOUBLE / truth_rank ELSE 0.0::DOUBLE END, 6) AS rr, truth_rank, CASE WHEN hits = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS coverage FROM j""",
 }
+
+_RRF = "SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM {} GROUP BY ALL"
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, chunk_id) AS rank FROM ({})"
+_CT = "c AS (SELECT doc_id AS chunk_id, text, embedding, lang FROM documents JOIN embeddings ON vec_id = doc_id), q AS (SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON vec_id = item_id)"
+
+
+def _dense_of(cut, k, where="true"):
+    a, b = (f"{t}.embedding{cut}" for t in "qc")
+    return f"SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {_cos(a, b)} AS score FROM q, c WHERE {where})) WHERE rank <= {k}"
+
+
+_SPARSE_OF = rf"""SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, sum(a * b)::DOUBLE AS score
+    FROM (SELECT query_id, term, count(*) AS a FROM (SELECT query_id, unnest({TOKEN_SQL}) AS term FROM q) GROUP BY ALL) JOIN (SELECT chunk_id, term, count(*) AS b FROM (SELECT chunk_id, unnest({TOKEN_SQL}) AS term FROM c WHERE lang = 'en') GROUP BY ALL) USING (term) GROUP BY ALL)) WHERE rank <= 10"""
+_BM25_OF = BM25_SQL.replace("WITH c AS (SELECT doc_id, ", f"WITH {_CT.replace('c AS', 'cc AS').replace('q AS', 'qq AS')}, c AS (SELECT chunk_id AS doc_id, ").replace(" AS w FROM documents)", " AS w FROM cc)").replace("SELECT item_id AS query_id, unnest(", "SELECT query_id, unnest(").replace("FROM benchmark)", "FROM qq)").replace("rank <= 10", "rank <= 20")
+ORACLE |= {
+    "dense_by_blocks": _dense_sql("all", 10),
+    "fusion_selector": " UNION ALL ".join(f"SELECT query_id, chunk_id, score, rank, '{m}' AS method FROM ({ORACLE[n]}) WHERE rank <= 5" for m, n in (("rrf", "rrf_fusion"), ("weighted_rrf", "weighted_rrf_fusion"), ("normalized_score", "score_fusion"))),
+    "hybrid_retrieve": f"""WITH {_CT}, h AS (SELECT * FROM ({_dense_of('', 10, "lang = 'en'")}) UNION ALL SELECT * FROM ({_SPARSE_OF})),
+        f AS (SELECT * FROM ({_RANKED.format(_RRF.format('h'))}) WHERE rank <= 10),
+        g AS (SELECT query_id, chunk_id, score, rank FROM f UNION ALL SELECT * FROM ({_dense_of('[1:32]', 10)}))
+        SELECT query_id, chunk_id, score, rank FROM ({_RANKED.format(_RRF.format('g'))}) WHERE rank <= 10""",
+    "linear_retrieve": f"""WITH {_CT}, h AS (SELECT *, 'bm25' AS retriever FROM ({_BM25_OF}) UNION ALL SELECT *, 'dense' FROM ({_dense_of('', 20)})),
+        n AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM h WINDOW w AS (PARTITION BY query_id, retriever)),
+        k AS (SELECT * FROM n WHERE CASE WHEN retriever = 'bm25' THEN score >= 1.0 AND norm >= 0.1::DOUBLE ELSE score >= 0.05::DOUBLE END),
+        f AS (SELECT * FROM ({_RANKED.format(_RRF.format('k'))}) WHERE rank <= 20 AND score >= 0.015::DOUBLE)
+        SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM f) WHERE rank <= 5""",
+    "stage_thresholds": f"""WITH {_CHANNELS_SQL}, f AS (SELECT * FROM ({_RANKED.format(_RRF.format('h'))}) WHERE rank <= 15),
+        m AS (SELECT *, CASE WHEN score < 0.017::DOUBLE THEN 'min_score' WHEN sum(CASE WHEN score < 0.017::DOUBLE THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY rank) > 8 THEN 'top_k' END AS r FROM f)
+        SELECT query_id, chunk_id, rank, CASE WHEN r IS NULL AND count(*) FILTER (r IS NULL) OVER (PARTITION BY query_id) < 6 THEN 'min_evidence_count' ELSE r END AS removed FROM m""",
+    "fan_out_merge": f"""WITH h AS (SELECT *, 0 AS sub FROM ({_dense_sql('first', 5)}) UNION ALL SELECT *, 1 FROM ({_dense_sql('second', 5)})),
+        o AS (SELECT query_id, chunk_id, max(score) AS score, min({{'sub': sub, 'place': rank}}) AS first FROM h GROUP BY ALL)
+        SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM o""",
+    "fresh_results": f"WITH {_CHANNELS_SQL} SELECT query_id, chunk_id, retriever, rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY retriever <> 'bm25', rank) = 1",
+    "score_rerank": f"""WITH {_CHANNELS_SQL}, f AS (SELECT query_id, chunk_id, round(score * (1 + chunk_id % 3), 9) AS score, rank AS before FROM ({_RANKED.format(_RRF.format('h'))}) WHERE rank <= 15)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM f) WHERE rank <= 6""",
+    "model_rerank": f"""WITH {_CT}, h AS ({_dense_of('', 10)}), s AS (SELECT h.query_id, h.chunk_id, -abs(length(q.text) - length(c.text))::DOUBLE AS score, h.rank AS before FROM h JOIN q USING (query_id) JOIN c USING (chunk_id))
+        SELECT query_id, chunk_id, score, rank, 'model' AS reranker FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM s) WHERE rank <= 5""",
+    "provider_order": f"SELECT query_id, chunk_id, CASE rank WHEN 6 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS rank FROM ({_dense_sql('all', 6)}) WHERE rank IN (6, 1, 4)",
+    "query_words": rf"SELECT conv_id * 100 + turn AS query_id, sha256(trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'))) AS normalized_sha256, len({TOKEN_SQL})::BIGINT AS n FROM conversations",
+    "recency": "SELECT o_orderkey, round(CASE WHEN o_orderkey % 5 = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE + 0.1::DOUBLE * exp(-floor((epoch(TIMESTAMP '1999-01-01') - epoch(o_orderdate)) / 86400) * ln(2.0::DOUBLE) / 90) END, 6) AS factor FROM orders",
+    "type_boost": f"""WITH h AS ({_DENSE20}), m AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', {v}::DOUBLE)" for a, t in retrieval.TYPE_FACTORS.items() for b, v in t.items())}) AS t(asked, doc, factor)),
+        a AS (SELECT * FROM (VALUES {", ".join(f"('{b}', {v}::DOUBLE)" for b, v in retrieval.ANY_TYPE.items())}) AS t(doc, factor)),
+        k AS (SELECT *, ['faq', 'manual', 'article', 'spec_sheet', 'policy', 'unknown', 'other'][(chunk_id % 7 + 1)::INT] AS doc, ['faq', 'manual', 'article', 'spec_sheet', 'policy', 'unknown', 'other'][(query_id // 20 % 7 + 1)::INT] AS asked FROM h),
+        w AS (SELECT k.*, coalesce(CASE WHEN k.asked IN ('unknown', 'other') THEN a.factor ELSE m.factor END, 1.0::DOUBLE) * CASE WHEN chunk_id % 5 = 0 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM k LEFT JOIN m ON m.asked = k.asked AND m.doc = k.doc LEFT JOIN a ON a.doc = k.doc),
+        b AS (SELECT query_id, chunk_id, rank AS before, round((score - min(score) OVER p) / (CASE WHEN max(score) OVER p = min(score) OVER p THEN 1.0::DOUBLE ELSE max(score) OVER p - min(score) OVER p END) * least(greatest(factor, 0.7::DOUBLE), 1.4::DOUBLE), 9) AS score FROM w WINDOW p AS (PARTITION BY query_id))
+        SELECT query_id, chunk_id, score, before, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM b) WHERE rank <= 10""",
+}
