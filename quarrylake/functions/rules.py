@@ -304,7 +304,8 @@ def one_of(c: Column, allowed, default: str = "unknown") -> Column:
 
 def quality_score(c: Column) -> Column:
     """A number in text, cut to 0..1; booleans and words are none."""
-    return T.clamp(c.try_cast("double"), 0.0, 1.0)
+    n = c.try_cast("double")
+    return F.when(n.isNotNull(), T.clamp(n, 0.0, 1.0))
 
 
 # ------------------------------------------------------------------------------------------------ claims, ids

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_dedup, q_records, q_retrieval, q_warehouse
+from . import q_dedup, q_records, q_retrieval, q_rules, q_warehouse
 
-MODULES = (q_retrieval, q_dedup, q_warehouse, q_records)
+MODULES = (q_retrieval, q_dedup, q_warehouse, q_records, q_rules)
 
 
 def queries() -> dict:
