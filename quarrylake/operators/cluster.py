@@ -13,16 +13,21 @@ from quarrylake.functions import text as T
 GRAY, TOP_PAIRS, GROUP, ROUNDS = 0.42, 4, 60, 50
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Through the shared folder, so loops keep short plans and lost executors lose nothing."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder that the driver and all executors share; a temporary one only where all of Spark is one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="quarrylake-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Through the shared folder, so loops keep short plans and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

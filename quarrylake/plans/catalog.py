@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_dedup, q_records, q_retrieval, q_rules, q_warehouse
+from . import q_dedup, q_records, q_retrieval, q_rules, q_store, q_warehouse
 
-MODULES = (q_retrieval, q_dedup, q_warehouse, q_records, q_rules)
+MODULES = (q_retrieval, q_dedup, q_warehouse, q_records, q_rules, q_store)
 
 
 def queries() -> dict:

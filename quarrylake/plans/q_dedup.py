@@ -132,8 +132,8 @@ def singleton_terms(spark, d):
 
 
 def keyword_overlap(spark, d):
-    """Of each source's documents: how many contain a benchmark item's first word as a token."""
-    heads = table(spark, d, "benchmark").select(F.element_at(T.tokens(F.col("text")), 1).alias("term")).where("term IS NOT NULL").distinct()
+    """Of each source's documents: how many contain a word of the benchmark as a token."""
+    heads = table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
     words = table(spark, d, "documents").select("doc_id", "source", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     return words.join(heads, "term").groupBy("source", "term").agg(F.count("*").alias("docs"))
 
@@ -239,7 +239,7 @@ ORACLE = {
     "term_frequency": f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY term HAVING n >= 20",
     "count_histogram": f"SELECT bucket, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM (SELECT (len({_TOK}) // 50 * 50)::BIGINT AS bucket, count(*) AS n FROM documents GROUP BY 1)",
     "singleton_terms": f"SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 20 THEN '6-20' ELSE '21+' END AS size, count(*) AS terms, sum(n)::BIGINT AS uses FROM (SELECT term, count(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term) GROUP BY 1",
-    "keyword_overlap": f"SELECT source, term, count(*) AS docs FROM (SELECT DISTINCT doc_id, source, unnest({_TOK}) AS term FROM documents) WHERE term IN (SELECT {_TOK}[1] FROM benchmark) GROUP BY ALL",
+    "keyword_overlap": f"SELECT source, term, count(*) AS docs FROM (SELECT DISTINCT doc_id, source, unnest({_TOK}) AS term FROM documents) WHERE term IN (SELECT unnest({_TOK}) FROM benchmark) GROUP BY ALL",
 }
 _COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
 _ROWS = f"SELECT canonical_id, duplicate_id, b.source AS duplicate_document, b.text AS duplicate_text, a.source AS canonical_document, coalesce(left(a.text, 200), '') AS canonical_text, CASE WHEN a.source IS NULL THEN 'missing' ELSE canonical_id::VARCHAR END || '::' || duplicate_id || '::exact_sha256' AS id FROM ({_EXACT}) JOIN documents b ON b.doc_id = duplicate_id AND b.doc_id % 5 <> 1 LEFT JOIN documents a ON a.doc_id = canonical_id AND a.doc_id % 5 <> 1"

@@ -11,10 +11,10 @@ from quarrylake.sources.tables import table
 
 
 def _keys(spark, d):
-    return table(spark, d, "part").select(F.lower("p_name").alias("key")).unionByName(table(spark, d, "customer").select(F.lower(F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))).alias("key"))).distinct()
+    return table(spark, d, "part").select(F.explode(F.array(F.lower("p_name"), F.lower(F.substring_index("p_name", " ", 1)))).alias("key")).unionByName(table(spark, d, "customer").select(F.lower(F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))).alias("key"))).distinct()
 
 
-_KEYS = "k AS (SELECT lower(p_name) AS key FROM part UNION SELECT lower(c_mktsegment || ' ' || c_nationkey) FROM customer)"
+_KEYS = "k AS (SELECT lower(p_name) AS key FROM part UNION SELECT lower(string_split(p_name, ' ')[1]) FROM part UNION SELECT lower(c_mktsegment || ' ' || c_nationkey) FROM customer)"
 
 
 def truthy_cells(spark, d):
@@ -40,7 +40,7 @@ def combined_filter(spark, d):
 
 
 def any_column_like(spark, d):
-    return table(spark, d, "part").where(records.any_like(["p_name", "p_brand", "p_type"], "Steel") | records.any_like(["p_brand"], "#1_")).select("p_partkey")
+    return table(spark, d, "part").where(records.any_like(["p_name", "p_brand", "p_type"], "Widg") | records.any_like(["p_brand"], "#1_")).select("p_partkey")
 
 
 def keyword_page(spark, d):
@@ -74,7 +74,7 @@ def last_wins(spark, d):
 def assets_by_page(spark, d):
     l = table(spark, d, "lineitem")
     chunks = l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_id"), F.array((F.col("l_linenumber") % 3).cast("int"), F.lit(5)).alias("pages"))
-    assets = l.where("l_quantity > 45").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("asset_id"), F.array((F.col("l_partkey") % 4).cast("int")).alias("pages"))
+    assets = l.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("asset_id"), F.array((F.col("l_partkey") % 4).cast("int")).alias("pages"))
     return records.assets_by_page(chunks, assets).select("asset_id", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
 
 
@@ -103,14 +103,14 @@ def provider_payloads(spark, d):
 
 def entity_components(spark, d):
     """Nations linked through customers of the same balance band and segment, as components of keys."""
-    c = table(spark, d, "customer").where("c_acctbal > 9000")
+    c = table(spark, d, "customer")
     links = c.select(F.col("c_custkey").alias("a"), (F.floor(F.col("c_acctbal") / 5) + 10_000_000).cast("long").alias("b"))
     return cluster.components(links)
 
 
 def entity_communities(spark, d):
     """Only counts: label propagation has no SQL."""
-    c = table(spark, d, "customer").where("c_acctbal > 9000")
+    c = table(spark, d, "customer")
     return cluster.communities(c.select(F.col("c_custkey").alias("a"), (F.floor(F.col("c_acctbal") / 5) + 10_000_000).cast("long").alias("b")), 3)
 
 
@@ -119,7 +119,7 @@ def contained_keys(spark, d):
 
 
 def gray_pairs(spark, d):
-    return cluster.gray_pairs(table(spark, d, "nation").select(F.lower("n_name").alias("key")).unionByName(table(spark, d, "region").select(F.lower("r_name").alias("key"))).distinct(), 0.3)
+    return cluster.gray_pairs(_keys(spark, d))
 
 
 def top_pairs(spark, d):
@@ -161,15 +161,15 @@ _FUNCTIONS = (truthy_cells, id_cells, json_answers, combined_filter, any_column_
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _TOK = R.TOKEN_SQL
 _HITS = "h AS (SELECT conv_id AS query_id, turn + 1 AS rank, text FROM conversations)"
-_GRAY = """g AS (SELECT key, gram, count(*) AS c FROM (SELECT key, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram FROM (SELECT key, '  ' || regexp_replace(key, '\\s+', '', 'g') || '  ' AS p FROM (SELECT lower(n_name) AS key FROM nation UNION SELECT lower(r_name) FROM region))) GROUP BY ALL),
+_GRAY = """g AS (SELECT key, gram, count(*) AS c FROM (SELECT key, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram FROM (SELECT key, '  ' || regexp_replace(key, '\\s+', '', 'g') || '  ' AS p FROM k)) GROUP BY ALL),
     n AS (SELECT key, sqrt(sum(c * c)::DOUBLE) AS norm FROM g GROUP BY key),
-    s AS (SELECT * FROM (SELECT a.key AS a_key, b.key AS b_key, round(sum(a.c * b.c)::DOUBLE / (x.norm * y.norm), 6) AS score FROM g a JOIN g b ON a.gram = b.gram AND a.key < b.key JOIN n x ON x.key = a.key JOIN n y ON y.key = b.key GROUP BY a.key, b.key, x.norm, y.norm) WHERE score >= 0.3)"""
+    s AS (SELECT * FROM (SELECT a.key AS a_key, b.key AS b_key, round(sum(a.c * b.c)::DOUBLE / (x.norm * y.norm), 6) AS score FROM g a JOIN g b ON a.gram = b.gram AND a.key < b.key JOIN n x ON x.key = a.key JOIN n y ON y.key = b.key GROUP BY a.key, b.key, x.norm, y.norm) WHERE score >= 0.42::DOUBLE)"""
 ORACLE = {
     "truthy_cells": "SELECT o_orderstatus, count(*) FILTER (o_orderstatus IN ('F', 'O')) AS yes, count(*) AS n FROM orders GROUP BY 1",
     "id_cells": "SELECT o_orderkey, CASE WHEN o_custkey = o_orderkey % 7 THEN o_custkey::VARCHAR ELSE o_custkey || '|' || (o_orderkey % 7) END AS ids FROM orders",
     "json_answers": "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events",
     "combined_filter": "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey < 60 AND l_returnflag <> 'R' AND l_linestatus = 'O' GROUP BY 1",
-    "any_column_like": "SELECT p_partkey FROM part WHERE p_name ILIKE '%steel%' OR p_brand ILIKE '%steel%' OR p_type ILIKE '%steel%' OR contains(p_brand, '#1_')",
+    "any_column_like": "SELECT p_partkey FROM part WHERE p_name ILIKE '%widg%' OR p_brand ILIKE '%widg%' OR p_type ILIKE '%widg%' OR contains(p_brand, '#1_')",
     "keyword_page": rf"WITH h AS (SELECT doc_id FROM documents WHERE len(list_intersect({_TOK}, ['moron', 'idiot'])) > 0) SELECT doc_id AS chunk_id, (SELECT count(*) FROM h) AS total FROM h ORDER BY doc_id LIMIT 5 OFFSET 5",
     "hydrated_hits": f"SELECT query_id, chunk_id, rank, lang FROM ({R._dense_sql('all', 10)}) JOIN documents ON doc_id = chunk_id WHERE doc_id % 2 = 0",
     "explained_hits": f"""WITH {R._CHANNELS_SQL}, f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM h GROUP BY ALL),
@@ -177,14 +177,14 @@ ORACLE = {
         SELECT r.query_id, r.chunk_id, r.rank, a.rank AS first_rank, a.score AS first_score, b.rank AS second_rank, b.score AS second_score FROM r LEFT JOIN h a ON a.query_id = r.query_id AND a.chunk_id = r.chunk_id AND a.retriever = 'bm25' LEFT JOIN h b ON b.query_id = r.query_id AND b.chunk_id = r.chunk_id AND b.retriever = 'dense'""",
     "best_score_first_place": "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY pos, chunk_id) AS rank FROM (SELECT event_type AS query_id, event_id % 37 AS chunk_id, max(value) AS score, min(event_id) AS pos FROM events GROUP BY 1, 2)",
     "last_wins": "SELECT user_id AS key, min(event_id) AS pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1",
-    "assets_by_page": "SELECT asset_id, string_agg(c::VARCHAR, ',' ORDER BY c) AS chunk_ids FROM (SELECT DISTINCT a.l_orderkey * 10 + a.l_linenumber AS asset_id, c.l_linenumber AS c FROM lineitem a JOIN lineitem c ON a.l_orderkey = c.l_orderkey AND (a.l_partkey % 4 = c.l_linenumber % 3) WHERE a.l_quantity > 45) GROUP BY 1",
+    "assets_by_page": "SELECT asset_id, string_agg(c::VARCHAR, ',' ORDER BY c) AS chunk_ids FROM (SELECT DISTINCT a.l_orderkey * 10 + a.l_linenumber AS asset_id, c.l_linenumber AS c FROM lineitem a JOIN lineitem c ON a.l_orderkey = c.l_orderkey AND (a.l_partkey % 4 = c.l_linenumber % 3)) GROUP BY 1",
     "evidence_context": f"WITH {_HITS} SELECT query_id, sha256(string_agg('[' || rank || '] ' || text, chr(10) ORDER BY rank)) AS context_sha256 FROM h GROUP BY 1",
     "fallback_answers": f"WITH {_HITS}, b AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS answer FROM h WHERE rank <= 3 AND length(trim(text)) >= 12 GROUP BY 1) SELECT query_id, sha256(coalesce(answer, '')) AS answer_sha256, CASE WHEN answer IS NULL THEN 'not_found' ELSE 'answered' END AS status FROM (SELECT DISTINCT query_id FROM h) LEFT JOIN b USING (query_id)",
     "provider_payloads": "SELECT event_id::VARCHAR AS chunk_id, event_type AS text, CASE WHEN event_id % 2 = 0 THEN event_id % 9 + 1 ELSE 1 END AS rank, CASE WHEN event_id % 2 = 0 THEN round(1.0::DOUBLE / (event_id % 9 + 1), 6) ELSE 0.5::DOUBLE END AS score FROM events",
-    "entity_components": "WITH l AS (SELECT c_custkey AS a, (floor(c_acctbal / 5) + 10000000)::BIGINT AS b FROM customer WHERE c_acctbal > 9000), m AS (SELECT b, min(a) AS component FROM l GROUP BY b) SELECT a AS node, component FROM l JOIN m USING (b) UNION ALL SELECT b, component FROM m",
+    "entity_components": "WITH l AS (SELECT c_custkey AS a, (floor(c_acctbal / 5) + 10000000)::BIGINT AS b FROM customer), m AS (SELECT b, min(a) AS component FROM l GROUP BY b) SELECT a AS node, component FROM l JOIN m USING (b) UNION ALL SELECT b, component FROM m",
     "contained_keys": f"WITH {_KEYS}, w AS (SELECT key, list_distinct(string_split(key, ' ')) AS w FROM k), p AS (SELECT key, unnest(w) AS word FROM w) SELECT DISTINCT a.key AS small, b.key AS large FROM w a JOIN p pa ON pa.key = a.key JOIN p pb ON pb.word = pa.word JOIN w b ON b.key = pb.key WHERE a.key <> b.key AND len(b.w) - len(a.w) BETWEEN 0 AND 1 AND list_has_all(b.w, a.w)",
-    "gray_pairs": f"WITH {_GRAY} SELECT * FROM s",
-    "top_pairs": f"WITH {_GRAY}, t AS (SELECT a_key AS k, b_key AS o, score FROM s UNION ALL SELECT b_key, a_key, score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, o DESC) AS n FROM t) SELECT DISTINCT least(k, o) AS a_key, greatest(k, o) AS b_key, score FROM r WHERE n <= 2",
+    "gray_pairs": f"WITH {_KEYS}, {_GRAY} SELECT * FROM s",
+    "top_pairs": f"WITH {_KEYS}, {_GRAY}, t AS (SELECT a_key AS k, b_key AS o, score FROM s UNION ALL SELECT b_key, a_key, score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, o DESC) AS n FROM t) SELECT DISTINCT least(k, o) AS a_key, greatest(k, o) AS b_key, score FROM r WHERE n <= 2",
     "candidate_batches": "SELECT component, part, count(*) AS n FROM (SELECT c_nationkey AS component, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 20 AS part FROM customer) GROUP BY 1, 2",
     "consolidated_types": "SELECT canonical, type FROM (SELECT p_brand AS canonical, p_type AS type, row_number() OVER (PARTITION BY p_brand ORDER BY p_type <> 'LARGE', count(*) DESC, p_type) AS n FROM part GROUP BY 1, 2) WHERE n = 1",
     "question_words": f"SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) WHERE term NOT IN (SELECT unnest({_TOK}) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",

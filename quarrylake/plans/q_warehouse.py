@@ -25,7 +25,7 @@ def run_metrics(spark, d):
 
 def run_progress(spark, d):
     runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.lit(7).alias("total"))
-    results = table(spark, d, "lineitem").where("l_linenumber <= 3 AND l_quantity > 20").select(F.col("l_orderkey").alias("run_id"), (F.col("l_returnflag") == "R").alias("failed"))
+    results = table(spark, d, "lineitem").where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("run_id"), (F.col("l_returnflag") == "R").alias("failed"))
     return evaluation.progress(runs, results, "run_id")
 
 
@@ -70,7 +70,7 @@ def document_listing(spark, d):
     """Documents with chunk counts and latest change: LEFT JOIN, GROUP BY, order by max(coalesce)."""
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
     joined = o.join(l, o.o_orderkey == l.l_orderkey, "left").groupBy("o_orderkey", "o_orderdate").agg(F.count("l_linenumber").alias("chunks"), F.max(F.coalesce("l_shipdate", "o_orderdate")).alias("changed"))
-    return joined.orderBy(F.desc("changed"), "o_orderkey").limit(100)
+    return joined.orderBy(F.desc("changed"), "o_orderkey")
 
 
 def canonical_coverage(spark, d):
@@ -194,13 +194,13 @@ _WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(
 _BOTH = "b AS (SELECT subject AS a, object AS b FROM e UNION SELECT object, subject FROM e)"
 ORACLE = {
     "run_metrics": "SELECT l_orderkey AS run_id, count(*) AS n, round(avg(l_quantity), 6) AS avg_recall, round(avg(l_discount), 6) AS avg_mrr, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS pass_rate FROM lineitem GROUP BY 1",
-    "run_progress": "SELECT o_orderkey AS run_id, 7 AS total, count(l_orderkey) AS done, count(*) FILTER (l_returnflag = 'R') AS failed, 7 - count(l_orderkey) AS left FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 3 AND l_quantity > 20) ON l_orderkey = o_orderkey GROUP BY 1",
+    "run_progress": "SELECT o_orderkey AS run_id, 7 AS total, count(l_orderkey) AS done, count(*) FILTER (l_returnflag = 'R') AS failed, 7 - count(l_orderkey) AS left FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag <> 'A') ON l_orderkey = o_orderkey GROUP BY 1",
     "run_comparison": "SELECT c_mktsegment, o_orderstatus, count(o_orderkey) AS orders, round(avg(o_totalprice), 4) AS avg_price, bool_or(o_totalprice > 400000) AS any_large FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2",
     "inherited_runs": "WITH k AS (SELECT DISTINCT l_suppkey AS run_id, p_brand AS q FROM lineitem JOIN part ON l_partkey = p_partkey), own AS (SELECT DISTINCT q FROM k WHERE run_id < 5) SELECT run_id, count(*) AS covered, (SELECT count(*) FROM own) AS total FROM k WHERE q IN (SELECT q FROM own) GROUP BY run_id HAVING count(*) * 2 >= (SELECT count(*) FROM own)",
     "pending_questions": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS seq FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
     "approved_questions": "SELECT c_custkey, count(o_orderkey) AS orders, count(*) FILTER (o_totalprice > 200000) AS large, count(*) FILTER (o_totalprice > 200000) > 0 AS has_large FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
     "affected_questions": "WITH e AS (SELECT user_id, json_extract_string(props, '$.k') AS k FROM events), top AS (SELECT k FROM e GROUP BY k ORDER BY count(*) DESC, k LIMIT 5) SELECT user_id, count(DISTINCT k) AS n_keys FROM e GROUP BY user_id HAVING bool_or(k IN (SELECT k FROM top))",
-    "document_listing": "SELECT o_orderkey, o_orderdate, count(l_linenumber) AS chunks, max(coalesce(l_shipdate, o_orderdate)) AS changed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY changed DESC, o_orderkey LIMIT 100",
+    "document_listing": "SELECT o_orderkey, o_orderdate, count(l_linenumber) AS chunks, max(coalesce(l_shipdate, o_orderdate)) AS changed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY changed DESC, o_orderkey",
     "canonical_coverage": "SELECT p_brand AS canonical, p_size, count(*) AS coverage FROM part GROUP BY 1, 2 HAVING count(*) > 2",
     "reconcile_ids": "SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS shared, count(*) FILTER (b IS NULL) AS left_only, count(*) FILTER (a IS NULL) AS right_only, round(100.0::DOUBLE * count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / count(*) FILTER (a IS NOT NULL), 4) AS match_pct FROM (SELECT DISTINCT doc_id AS a FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS b FROM labels) ON a = b",
     "stratified_sample": "SELECT doc_id, lang, n > 12 AS backfill FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) ORDER BY n > 12, doc_id LIMIT 60",
