@@ -6,13 +6,14 @@ triples' ends and predicates.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
-from quarrylake.operators import dedup, evaluation, graph
+from quarrylake.operators import agent, dedup, evaluation, graph, retrieval
+from quarrylake.operators.cluster import shared_folder
 from quarrylake.sources import html
 from quarrylake.sources.tables import appended, table
 from quarrylake.streaming import events as stream
@@ -181,14 +182,54 @@ def event_stream(spark, d):
     """The windows again, by a stream over the same files."""
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarrylake-")
-    import uuid
+    root = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    return stream.run_to_table(stream.windowed(source), f"{root}/table", f"{root}/checkpoint")
 
-    name = f"events_{uuid.uuid4().hex[:8]}"
-    return stream.run_to_table(stream.windowed(source), name, f"{shared}/{name}")
 
+def _staged_files(spark, d, rows, parts):
+    """A table as several files that a stream reads one by one."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.repartition(parts, F.col(rows.columns[0])).write.parquet(f"{root}/in")
+    return root, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
-_FUNCTIONS = (run_metrics, run_progress, run_comparison, inherited_runs, pending_questions, approved_questions, affected_questions, document_listing, canonical_coverage, reconcile_ids, stratified_sample, upsert_latest, idempotent_append, last_assistant_turn, conversation_shape, kg_mentions, kg_predicates, kg_edges, kg_fence, kg_reach, kg_chunk_scores, kg_delete_document, html_parse, page_domains, page_types, event_windows, event_sessions, event_stream)
+
+def stream_upserts(spark, d):
+    """Events as results that are written again and again: the latest of each user, over several micro-batches."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    root, source = _staged_files(spark, d, e, 4)
+    stream.upsert_stream(source, f"{root}/out", ["user_id"], "event_id", f"{root}/checkpoint")
+    return stream.upserted(spark, f"{root}/out", ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+def stream_worker(spark, d):
+    """Conversations as tasks, one file at a time; run twice over the same input, no task is worked on twice."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    root, source = _staged_files(spark, d, c, 3)
+    work = lambda rows: rows.select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    for run in ("first", "again"):
+        stream.worked_off(source, f"{root}/out", f"{root}/{run}", work, ["conv_id", "turn"])
+    done = spark.read.parquet(f"{root}/out")
+    return done.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("n").alias("n"))
+
+
+def stream_new_texts(spark, d):
+    """Documents arriving by a stream: how many texts (normalised) are new."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.to_timestamp(F.lit("2024-01-01")).alias("ts")).where("text IS NOT NULL")
+    root, source = _staged_files(spark, d, docs, 2)
+    found = stream.run_to_table(stream.new_texts(source), f"{root}/out", f"{root}/checkpoint", "append")
+    return found.agg(F.count("*").alias("n"), F.count_distinct("text_key").alias("keys"))
+
+
+def answer_flow(spark, d):
+    """The whole flow over benchmark items, small talk and unclear questions; retrieval is by term frequencies."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    talk = spark.createDataFrame([(100_001, "Hello!"), (100_002, "vf8"), (100_003, " "), (100_004, "zzzz qqqq xxxx yyyy wwww")], "query_id long, text string")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").unionByName(talk)
+    out = agent.answered(asked, lambda q: retrieval.sparse(docs, q, 5), docs, least=3.0)
+    return out.select("query_id", "status", F.size(F.coalesce("citations", F.array().cast("array<long>"))).cast("long").alias("cited"), F.col("steps").cast("long").alias("steps"))
+
+
+_FUNCTIONS = (run_metrics, run_progress, run_comparison, inherited_runs, pending_questions, approved_questions, affected_questions, document_listing, canonical_coverage, reconcile_ids, stratified_sample, upsert_latest, idempotent_append, last_assistant_turn, conversation_shape, kg_mentions, kg_predicates, kg_edges, kg_fence, kg_reach, kg_chunk_scores, kg_delete_document, html_parse, page_domains, page_types, event_windows, event_sessions, event_stream, stream_upserts, stream_worker, stream_new_texts, answer_flow)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 _BOTH = "b AS (SELECT subject AS a, object AS b FROM e UNION SELECT object, subject FROM e)"
@@ -224,5 +265,8 @@ ORACLE = {
     "page_types": r"SELECT CASE WHEN regexp_matches(lower(url), '\.(pdf|jpg|png)$') THEN 'file' WHEN contains(lower(html), '<table') THEN 'table' WHEN contains(lower(url), '?page=') THEN 'listing' WHEN length(html) > 3000 THEN 'article' ELSE 'other' END AS kind, count(*) AS pages, max(length(html)) AS longest FROM pages GROUP BY 1",
     "event_windows": _WINDOWS,
     "event_stream": _WINDOWS,
+    "stream_upserts": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "stream_worker": "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS n FROM conversations GROUP BY 1",
+    "stream_new_texts": r"SELECT count(DISTINCT lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS n, count(DISTINCT lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS keys FROM documents WHERE text IS NOT NULL",
     "event_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
 }

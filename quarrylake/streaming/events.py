@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
+from quarrylake.operators.dedup import text_key
 
 
 def _timed(events: DataFrame, delay: str) -> DataFrame:
@@ -30,11 +31,45 @@ def first_seen(events: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream over what is there now and return the table it filled."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Drive a stream over what is there now and return the table it filled, from files: each batch under its number.
+
+    ``complete`` batches replace what came before (the last one is the table), others add to it.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = stream.sparkSession.read.parquet(path)
+    if mode == "complete":
+        found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.drop("batch")
+
+
+def worked_off(stream: DataFrame, path: str, checkpoint: str, work, keys: list[str]) -> None:
+    """A worker over a stream of tasks: each micro-batch is worked on and its results written under its number.
+
+    Tasks whose result is there already are skipped, so a restart or a task sent twice does no work twice; the
+    checkpoint remembers what was read.
+    """
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        from quarrylake.sources.tables import exists
+
+        fresh = batch.dropDuplicates(keys)
+        if exists(spark, path):
+            done = spark.read.parquet(path).where(F.col("batch") != number).select(*keys).distinct()
+            fresh = fresh.join(done, keys, "left_anti")
+        work(fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def appended_traces(traces: DataFrame, path: str) -> None:
+    """Trace records added to an append-only folder of JSON lines."""
+    traces.write.mode("append").text(path)
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> None:
@@ -55,4 +90,4 @@ def upserted(spark: SparkSession, path: str, keys: list[str], order: str) -> Dat
 
 def new_texts(stream: DataFrame, text_col: str = "text", delay: str = "1 hour") -> DataFrame:
     """Chunks of a stream whose normalised text wasn't seen within the delay (needs a ``ts`` column)."""
-    return first_seen(stream.withColumn("text_key", T.fingerprint(T.dedup_text_latin(F.col(text_col)))), "text_key", delay)
+    return first_seen(stream.withColumn("text_key", T.fingerprint(text_key(F.col(text_col)))), "text_key", delay)
