@@ -244,11 +244,8 @@ def is_not_found(c: Column, phrases=NOT_FOUND) -> Column:
 
 def without_reference_list(c: Column) -> Column:
     """The answer without its trailing lines of references and their heading."""
-    lines = F.split(F.trim(c), r"\r?\n")
-    listed = lambda x: F.trim(x).rlike(r"(?i)^(?:[-*]?\s*\[\d+\].*|#*\s*\**(?:nguồn|tài liệu tham khảo|sources?|references?)\**\s*:?\**|)$")
-    # The last line that stays.
-    last = F.array_max(F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: ~listed(F.element_at(lines, i))))
-    return F.trim(F.array_join(F.slice(lines, 1, F.coalesce(last, F.lit(0))), "\n"))
+    listed = r"(?i)(?:(?:^|\n)[^\S\n]*+(?:[-*]?[^\S\n]*\[\d+\][^\n]*+|#*[^\S\n]*\**(?:nguồn|tài liệu tham khảo|sources?|references?)\**[^\S\n]*:?\**)?[^\S\n]*+)++\z"
+    return F.trim(F.regexp_replace(F.trim(F.replace(c, F.lit("\r\n"), F.lit("\n"))), listed, ""))
 
 
 def selected_citations(answer: Column, declared: Column, available: Column, most: int = 3) -> Column:

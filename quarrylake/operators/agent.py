@@ -139,7 +139,9 @@ def answered(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], t
         open_ = state.where("status = 'open'")
         if open_.isEmpty():
             break
-        hits, told = reranked(retrieve(open_.select("query_id", "text")), open_, config.top_k, least)
+        found = written(retrieve(open_.select("query_id", "text")).select("query_id", "chunk_id", "score", "rank", "retriever"), "found")
+        hits, told = reranked(found, open_, config.top_k, least)
+        told = written(told, "told")
         hits = written(hits.select("query_id", "chunk_id", "score"), "kept")
         kept = hits if kept is None else kept.unionByName(hits)
         after = open_.drop("rejected").join(open_.select("query_id", "rejected"), "query_id").join(told.select("query_id", "kept", "missing", "best", "bad"), "query_id", "left")
