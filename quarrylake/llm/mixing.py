@@ -33,7 +33,7 @@ from . import kernel
 from .common import Scratch, arrow_rows, bounded, materialize, whole_text
 
 #: Slots, times that a document is taken at most, rows of a range of the hash, hexadecimal digits that ranges differ in at most.
-SLOTS, REPEATS, BUCKET_ROWS, DIGITS = 1 << 16, 3, 64, 5
+SLOTS, REPEATS, BUCKET_ROWS, DIGITS = 1 << 16, 3, 256, 5
 GOLDEN = 0.6180339887498949
 WORDS = r"[^\x20\x09-\x0D]+"
 
