@@ -128,9 +128,9 @@ def test_sections_windows_and_packing():
 
 
 def test_html_pages():
-    title, lang, canonical, n, heads, links, images, text, markdown = html.parse('<html lang="fr"><head><title> T &amp; x</title><link rel="canonical" href="u"></head><nav>no<a href=1>x</a></nav><h1>H</h1><p>one<p>One<br>two <a href=2>k</a><img><script>p("</p>")</script>')
+    title, lang, canonical, n, heads, links, images, text, markdown, *_ = html.parse('<html lang="fr"><head><title> T &amp; x</title><link rel="canonical" href="u"></head><nav>no<a href=1>x</a></nav><h1>H</h1><p>one<p>One<br>two <a href=2>k</a><img><script>p("</p>")</script>')
     assert (title, lang, canonical, n, heads, links, images) == ("T & x", "fr", "u", 1, ["H"], 1, 1)
-    assert text == "H\none\nOne\ntwo k" and markdown == "# H\n\none\n\ntwo k"
+    assert text == "H\none\nOne\ntwo k" and markdown == "# H\n\none\n\ntwo [k](2)"
 
 
 def test_tables(spark, tmp_path):
