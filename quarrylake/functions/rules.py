@@ -93,8 +93,10 @@ def contains_any(c: Column, words) -> Column:
     return c.rlike(any_of(words))
 
 
-def whole_any(c: Column, words) -> Column:
-    return c.rlike(rf"\b(?:{any_of(words)})\b")
+def whole_any(c: Column, words, ascii_words: bool = False) -> Column:
+    """Whether some word stands alone: beside no letter or digit of any script, or (``ascii_words``) of ASCII."""
+    before, after = ("(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])") if ascii_words else (r"\b", r"\b")
+    return c.rlike(f"{before}(?:{any_of(words)}){after}")
 
 
 # ------------------------------------------------------------------------------------------------ query rules
@@ -105,10 +107,10 @@ def marked_language(c: Column) -> Column:
     return F.when(F.lower(c).rlike(f"[{VIETNAMESE_LETTERS}]"), "vi").otherwise("en")
 
 
-def query_language(c: Column, before: Column | None = None, detected: Column | None = None) -> Column:
+def query_language(c: Column, before: Column | None = None, detected: Column | None = None, ascii_words: bool = False) -> Column:
     """An explicit wish, else a detector's answer (a seam), else English words, else the language before, else ``vi``."""
     wish = F.when(c.rlike(SAYS_VIETNAMESE), "vi").when(c.rlike(SAYS_ENGLISH), "en")
-    words = F.when(whole_any(F.lower(c), ENGLISH_WORDS), "en")
+    words = F.when(whole_any(F.lower(c), ENGLISH_WORDS, ascii_words), "en")
     rest = [x for x in (detected, words, before) if x is not None]
     return F.coalesce(wish, *rest, F.lit("vi"))
 
