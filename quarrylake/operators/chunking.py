@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
+from quarrylake.operators.cluster import by_slices
 
 MAX_CHARS, OVERLAP, MIN_CHARS, MAX_TOKENS = 2048, 0, 40, 512
 #: Blocks shorter than this are joined with neighbours under one heading.
@@ -227,12 +227,10 @@ def boundary_of(text: str, size: int = 1500, seek: int = 200, overlap: int = 200
 
 
 def _exploded(frame: DataFrame, make, schema: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            rows = [(i, k, *row) for i, text in zip(batch.doc_id, batch.text, strict=True) for k, row in enumerate(make(text or ""))]
-            yield pd.DataFrame(rows, columns=[c.strip().split()[0] for c in schema.split(",")])
+    def rows_of(ids, texts):
+        return ((i, k, *row) for i, text in zip(ids, texts, strict=True) for k, row in enumerate(make(text or "")))
 
-    return frame.select("doc_id", "text").mapInPandas(run, schema)
+    return by_slices(frame.select("doc_id", "text"), rows_of, schema)
 
 
 def sections(docs: DataFrame) -> DataFrame:
