@@ -18,6 +18,8 @@ from quarrylake.operators import records, retrieval
 from quarrylake.operators.cluster import written
 
 MAX_STEPS, LEAST_EVIDENCE, CONTEXT_LEAST = 3, 2, 12
+#: Ids of chunks that are sent to all executors.
+SENT_IDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -127,6 +129,13 @@ def generated(questions: DataFrame, evidence: DataFrame, answers: DataFrame | No
     return rows.select("query_id", F.when(good, R.renumbered(answer)).alias("answer"), F.when(good, "answered").otherwise("not_found").alias("status"), F.when(good, cited).alias("citations"))
 
 
+def texts_of(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """``chunk_id, text`` of chunks that some question has: the others go where they are read, unless the hits are too many to send."""
+    ids = hits.select("chunk_id").distinct()
+    sent = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return written(texts.select("chunk_id", "text").join(sent, "chunk_id", "left_semi"), "texts")
+
+
 def answered(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], texts: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None, config: Config | None = None, least: float = 0.0) -> DataFrame:
     """Run the flow: ``query_id, answer, status, citations, steps`` for each question.
 
@@ -150,7 +159,7 @@ def answered(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], t
         rewrites = moved.select("query_id", F.array().cast("array<string>").alias("texts")) if rewrite is None else rewrite(moved.where("status = 'open'").select("query_id", "text"))
         state = written(state.where("status <> 'open'").unionByName(transformed(moved, rewrites)), "state")
     pool = kept if kept is not None else state.select("query_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
-    found = merged_documents(pool, pool.limit(0)).join(texts.select("chunk_id", "text"), "chunk_id")
+    found = merged_documents(pool, pool.limit(0)).join(texts_of(pool, texts), "chunk_id")
     flow = state.where(F.col("status").isin("done", "exhausted", "open"))
     out = generated(questions.join(flow.select("query_id"), "query_id", "left_semi"), found)
     rest = state.where(~F.col("status").isin("done", "exhausted", "open")).select("query_id", F.lit(None).cast("string").alias("answer"), "status", F.lit(None).cast("array<long>").alias("citations"))
