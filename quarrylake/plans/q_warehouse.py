@@ -187,10 +187,11 @@ def event_stream(spark, d):
 
 
 def _staged_files(spark, d, rows, parts):
-    """A table as several files that a stream reads one by one."""
+    """A table as files that a stream reads in so many turns: a file for each split of the input in all, so none grows with it."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartition(parts, F.col(rows.columns[0])).write.parquet(f"{root}/in")
-    return root, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    turn = -(-max(1, rows.rdd.getNumPartitions()) // parts)
+    rows.repartition(parts * turn, F.col(rows.columns[0])).write.parquet(f"{root}/in")
+    return root, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", turn).parquet(f"{root}/in")
 
 
 def stream_upserts(spark, d):
