@@ -158,10 +158,17 @@ def fusion_selector(spark, d):
     return out
 
 
+#: Ids of vectors that are sent to all executors (some 50 bytes each in a hashed relation, so 100 MB at most).
+VECTOR_IDS = 2_000_000
+
+
 def _texts(spark, d):
     """Documents with the vector of the same number, and benchmark items with theirs, as chunks and questions."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    chunks = table(spark, d, "documents").join(vectors, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("chunk_id"), "text", "embedding", "label", "lang")
+    documents = table(spark, d, "documents")
+    if vectors.count() <= VECTOR_IDS:  # texts without a vector end where they are read
+        documents = documents.join(F.broadcast(vectors.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    chunks = documents.join(vectors, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("chunk_id"), "text", "embedding", "label", "lang")
     questions = table(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), "text", "embedding")
     return chunks, questions
 
